@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binidx, packing, quality, simhash, tokencount
+from . import binidx, mixing, packing, quality, simhash, tokencount
 from .common import documents
 
 
@@ -18,6 +18,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.link(documents(spark, sf_dir))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(documents(spark, sf_dir))
 
@@ -33,6 +37,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op7_simhash": op7_simhash,
+    "op8_mixing": op8_mixing,
     "op5_token_counts": op5_token_counts,
     "op9_token_files": op9_token_files,
     "op10_best_fit_packing": op10_best_fit_packing,
