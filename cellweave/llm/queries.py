@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binidx, linededup, mixing, packing, quality, simhash, tokencount
+from . import binidx, linededup, mixing, packing, quality, simhash, tokencount, warc
 from .common import documents
 
 
@@ -26,6 +26,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(documents(spark, sf_dir))
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("file")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(documents(spark, sf_dir))
 
@@ -43,12 +47,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash": op7_simhash,
     "op8_mixing": op8_mixing,
     "op4_line_dedup": op4_line_dedup,
+    "op1_warc": op1_warc,
     "op5_token_counts": op5_token_counts,
     "op9_token_files": op9_token_files,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc": warc.SQL,
     "op3_quality_rules": quality.SQL,
     "op4_line_dedup": linededup.SQL,
 }
