@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binidx, linededup, mixing, packing, quality, simhash, tokencount, warc
+from . import binidx, linededup, mixing, packing, quality, simhash, tokencount, urls, warc
 from .common import documents
 
 
@@ -30,6 +30,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("file")
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("score")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(documents(spark, sf_dir))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op4_line_dedup": op4_line_dedup,
     "op1_warc": op1_warc,
+    "op6_url_filter": op6_url_filter,
     "op5_token_counts": op5_token_counts,
     "op9_token_files": op9_token_files,
     "op10_best_fit_packing": op10_best_fit_packing,
