@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binidx, linededup, mixing, packing, quality, simhash, tokencount, urls, warc
+from . import binidx, linededup, media, mixing, packing, quality, simhash, tokencount, urls, warc
 from .common import documents
 
 
@@ -34,6 +34,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("score")
 
 
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_round_trip(documents(spark, sf_dir))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(documents(spark, sf_dir))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op1_warc": op1_warc,
     "op6_url_filter": op6_url_filter,
+    "op2_media_columns": op2_media_columns,
     "op5_token_counts": op5_token_counts,
     "op9_token_files": op9_token_files,
     "op10_best_fit_packing": op10_best_fit_packing,
