@@ -33,13 +33,17 @@ SIMILAR = 0.5
 FIELD = "<*>"
 #: Leaf buckets that are broadcast at most.
 BUCKETS = 1 << 16
-BLANK = r"[ \t\x0B\f\r]+"
+#: White space inside a line, beside the blank.
+BLANKS = "\t\x0b\f\r"
 
 
 def _masked(line: Column) -> Column:
-    """Tokens joined by one blank, those with a digit as FIELD."""
-    line = F.regexp_replace(line, r"^[ \t\x0B\f\r]+|[ \t\x0B\f\r]+$", "")
-    return F.regexp_replace(F.regexp_replace(line, BLANK, " "), r"[^ ]*[0-9][^ ]*", FIELD)
+    """``line``: trimmed, white space as blanks. Tokens joined by one blank, those with a digit as FIELD.
+
+    Most lines have neither digits nor blanks in a row; they skip the patterns.
+    """
+    line = F.when(F.contains(line, F.lit("  ")), F.regexp_replace(line, " {2,}", " ")).otherwise(line)
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", FIELD)).otherwise(line)
 
 
 def _lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -47,10 +51,10 @@ def _lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col).cast("string")
     docs = df.select(
         F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text).alias("a"), F.xxhash64(F.lit("b"), text, id_col).alias("b"),
-        F.xxhash64(text).alias("content"), F.posexplode(F.split(text, "\n")).alias("pos", "line"),
+        F.xxhash64(text).alias("content"), F.posexplode(F.split(F.translate(text, BLANKS, " " * len(BLANKS)), "\n")).alias("pos", "line"),
     )
-    rows = docs.withColumn("masked", _masked(F.col("line"))).drop("line").where("masked <> ''")
-    tokens = F.length("masked") - F.length(F.regexp_replace("masked", " ", "")) + 1
+    rows = docs.withColumn("line", F.trim("line")).where("line <> ''").withColumn("masked", _masked(F.col("line"))).drop("line")
+    tokens = F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit("")))
     return rows.withColumns({"leaf": F.xxhash64(tokens, F.substring_index("masked", " ", LEADING)), "sig": F.xxhash64("masked")})
 
 
@@ -80,10 +84,9 @@ def recurring(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", doc
     near = lines.join(buckets, bucket == F.col("bucket"), "left_semi")
     named = staged(_templates(near, often, docs), "templates")
     held = staged(short.join(named, ["leaf", "sig"]).drop("leaf", "sig"), "held")
-    shared = held.select("template", "content").distinct().groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= docs)
-    order = F.struct("doc_id", "a", "b")
-    first = held.groupBy("template").agg(F.min(order).alias("first"))
-    gone = held.join(shared.join(first, "template"), "template").where(~((F.col("a") == F.col("first.a")) & (F.col("b") == F.col("first.b"))))
+    texts = held.groupBy("template", "content").agg(F.min(F.struct("doc_id", "a", "b")).alias("first"))
+    shared = texts.groupBy("template").agg(F.count("*").alias("n"), F.min("first").alias("first")).where(F.col("n") >= docs)
+    gone = held.join(staged(shared.drop("n"), "shared"), "template").where(~((F.col("a") == F.col("first.a")) & (F.col("b") == F.col("first.b"))))
     return short, gone.select("a", "b", "pos")
 
 
