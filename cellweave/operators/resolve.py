@@ -8,14 +8,22 @@ come by a join that the optimizer broadcasts where they are few.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..schema import CELL_DELETE, COLUMN, COLUMN_DELETE, FAMILY_DELETE, INTEGER_KINDS, MERGE, PUT, VALUES, Family, wrap_i64, wrapped_sum
 
-_COLUMN = Window.partitionBy(*COLUMN)
-_VERSION = Window.partitionBy(*COLUMN, "ts")
-_NEWEST = _COLUMN.orderBy(F.desc("ts"))
+
+def _column() -> WindowSpec:
+    return Window.partitionBy(*COLUMN)
+
+
+def _version() -> WindowSpec:
+    return Window.partitionBy(*COLUMN, "ts")
+
+
+def _newest() -> WindowSpec:
+    return _column().orderBy(F.desc("ts"))
 
 
 def visible(cells: DataFrame, snapshot: int | None = None) -> DataFrame:
@@ -49,9 +57,9 @@ def standard(cells: DataFrame, families: list[Family], now: int | None = None) -
     markers = rows.where(F.col("kind") == FAMILY_DELETE).groupBy("row", "family").agg(F.max("ts").alias("marker"))
     rows = rows.where(F.col("kind") != FAMILY_DELETE).join(markers, ["row", "family"], "left")
     rows = rows.withColumns({
-        "cover": F.greatest(F.max(F.when(F.col("kind") == COLUMN_DELETE, F.col("ts"))).over(_COLUMN), F.col("marker")),
-        "cut": F.max(F.col("kind") == CELL_DELETE).over(_VERSION),
-        "base": F.max(F.when(F.col("kind") == PUT, _order())).over(_VERSION),
+        "cover": F.greatest(F.max(F.when(F.col("kind") == COLUMN_DELETE, F.col("ts"))).over(_column()), F.col("marker")),
+        "cut": F.max(F.col("kind") == CELL_DELETE).over(_version()),
+        "base": F.max(F.when(F.col("kind") == PUT, _order())).over(_version()),
     })
     live = F.col("kind").isin(PUT, MERGE) & (F.col("ts") > F.coalesce("cover", F.lit(-1))) & ~F.col("cut") & ~_expiry(families, now)
     rows = rows.where(live)
@@ -65,7 +73,7 @@ def standard(cells: DataFrame, families: list[Family], now: int | None = None) -
         F.sum(F.col("value_i64").cast("decimal(38,0)")).alias("total"), F.max("seqno").alias("seqno"), F.max((F.col("kind") == PUT).cast("int")).alias("put")
     )
     # A run ends with the put it folds onto: its number is how many puts are newer.
-    before = _NEWEST.rowsBetween(Window.unboundedPreceding, -1)
+    before = _newest().rowsBetween(Window.unboundedPreceding, -1)
     runs = at.withColumn("run", F.coalesce(F.sum("put").over(before), F.lit(0)))
     runs = runs.groupBy(*COLUMN, "run").agg(F.max("ts").alias("ts"), F.max("seqno").alias("seqno"), wrap_i64(F.sum("total")).alias("value_i64"))
     none = {"value_type": F.lit("i64"), "value": F.lit(None).cast("binary"), "value_f64": F.lit(None).cast("double"), "value_vec": F.lit(None).cast("array<float>")}
@@ -82,16 +90,16 @@ def live_inputs(cells: DataFrame, families: list[Family], now: int | None = None
     rows = cells.where(F.col("family").isin(names))
     markers = rows.where(F.col("kind") == FAMILY_DELETE).groupBy("row", "family").agg(F.collect_list(F.struct("ts", "seqno")).alias("markers"))
     rows = rows.where(F.col("kind") != FAMILY_DELETE).join(markers, ["row", "family"], "left")
-    newer = _NEWEST.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    newer = _newest().rangeBetween(Window.unboundedPreceding, Window.currentRow)
     marker = F.array_max(F.transform(F.filter("markers", lambda m: m["ts"] >= F.col("ts")), lambda m: m["seqno"]))
     hidden = F.greatest(
         F.max(F.when(F.col("kind") == COLUMN_DELETE, F.col("seqno"))).over(newer),
-        F.max(F.when(F.col("kind") == CELL_DELETE, F.col("seqno"))).over(_VERSION),
+        F.max(F.when(F.col("kind") == CELL_DELETE, F.col("seqno"))).over(_version()),
         marker,
     )
     rows = rows.withColumn("hidden", F.coalesce(hidden, F.lit(-1)))
-    rows = rows.where(F.col("kind").isin(PUT, MERGE) & (F.col("seqno") > F.col("hidden")) & ~_expiry(families, now))
-    rows = rows.withColumn("newest", F.max(F.when(F.col("kind") == PUT, _order())).over(_VERSION))
+    rows = rows.where(F.col("kind").isin(PUT, MERGE) & (F.col("seqno") >= F.col("hidden")) & ~_expiry(families, now))
+    rows = rows.withColumn("newest", F.max(F.when(F.col("kind") == PUT, _order())).over(_version()))
     rows = rows.where(F.col("newest").isNull() | (_order() >= F.col("newest")))
     return rows.withColumn("base", F.col("kind") == PUT).drop("marker", "markers", "hidden", "newest")
 
