@@ -27,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import slices, staged, texts
 
 #: verdict, host, path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Words of hosts and paths that mark a training url as one to block.
 SEEDS = ("ads", "adult", "bet", "bets", "betting", "casino", "gambling", "pharmacy", "pills", "poker", "porn", "sex", "slots", "spam", "track", "tracker", "tracking", "viagra", "xxx")
 VOCABULARY = 100_000
+#: Parts of an octave in which word counts are compared.
+STEPS = 8
 LONGEST_WORD = 24
 FEATURES = 1 << 16
 #: Occurrences that a seed word has beside those counted, so that it can be split off.
@@ -62,11 +64,19 @@ def rule_of(host: Column, path: Column, rules) -> tuple[Column, Column]:
 
 
 def unigrams(pages: DataFrame, html_col: str = "html", vocabulary: int = VOCABULARY) -> dict[str, int]:
-    """The commonest words of all pages' visible text, and their counts."""
+    """The commonest words of all pages' visible text, and their counts: all above a count at which they are ``vocabulary`` at most."""
     shown = F.regexp_replace(F.lower(F.col(html_col).cast("string")), r"<(script|style)[^>]*>[\s\S]*?</\1>|<[^>]*>", " ")
     words = pages.select(F.explode(F.split(shown, r"[^\p{L}]+")).alias("word")).where(F.length("word").between(1, LONGEST_WORD))
-    top = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(vocabulary)
-    return {x["word"]: x["n"] for x in top.collect()}
+    counts = words.groupBy("word").agg(F.count("*").alias("n")).withColumn("step", F.floor(F.log2("n") * STEPS).cast("int"))
+    counts = staged(counts, "words")
+    left, least = vocabulary, 0
+    # A row for each eighth of an octave of counts.
+    for x in sorted(counts.groupBy("step").agg(F.count("*").alias("words")).collect(), reverse=True):
+        left -= x["words"]
+        if left < 0:
+            least = x["step"] + 1
+            break
+    return {x["word"]: x["n"] for x in counts.where(F.col("step") >= least).collect()}
 
 
 class Segmenter:
