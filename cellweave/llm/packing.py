@@ -4,10 +4,11 @@
 longer documents are cut; the first piece takes the odd length). ``pack`` deals
 the pieces to partitions of bounded size, packs each best-fit decreasing, and
 compares its bin count with the largest bound that a family of dual-feasible
-functions proves. Partitions that meet their bound are final. The others keep
-the bins that are full to the last token and exchange the rest: those pieces are
-dealt anew, over fewer partitions, and packed again, until bounds are met, or a
-single partition is left, or a round saves nothing.
+functions proves. A partition that meets its bound is certified: it keeps its
+bins, all but the emptiest ones. The others keep those that are full to the last
+token. The rest is exchanged: those pieces are dealt anew, over fewer partitions,
+and packed again, until a single partition is left or an exchange saves nothing,
+in which case the bins before it stay.
 
 Memory: a partition holds about ``part_rows`` rows of numbers; texts and ids
 never enter it. Defined cases: null text is empty (one token, the end id);
@@ -33,11 +34,13 @@ END_ID = 0
 CAPACITY = 2048
 #: Pieces packed by one task.
 PART_ROWS = 16_384
-#: Exchanges at most; each deals the open bins of partitions with gaps over an eighth as many partitions.
-ROUNDS = 4
+#: Exchanges at most; each deals the open bins over an eighth as many partitions.
+ROUNDS = 8
+#: A certified partition's bins with more than this part of the capacity left are exchanged too.
+SLACK = 16
 MERGE = 8
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PLACED = "row long, length long, bin long, offset long, gap boolean, full boolean"
+PLACED = "row long, length long, bin long, offset long, open boolean"
 
 
 def cut_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, end_id: int = END_ID, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -121,16 +124,20 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets, np.array(fill, np.int64)
 
 
-def _packer(capacity: int, last: bool):
+def _packer(capacity: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "row"], ascending=[False, True], ignore_index=True)
         lengths = rows["length"].to_numpy()
         bins, offsets, fill = best_fit(lengths, capacity)
-        gap = len(fill) > lower_bound(lengths, capacity) and not last
+        # A certified partition gives up its emptiest bins alone, others all that have room.
+        if len(fill) > lower_bound(lengths, capacity):
+            leaves = fill < capacity
+        else:
+            leaves = (fill < min(capacity, fill.min() + 1)) | (fill < capacity - capacity // SLACK)
         # A bin's number: the first row number in it, which no other bin has.
         name = np.full(len(fill), np.iinfo(np.int64).max)
         np.minimum.at(name, bins, rows["row"].to_numpy())
-        return pd.DataFrame({"row": rows["row"], "length": lengths, "bin": name[bins], "offset": offsets, "gap": gap, "full": (fill == capacity)[bins]})
+        return pd.DataFrame({"row": rows["row"], "length": lengths, "bin": name[bins], "offset": offsets, "open": leaves[bins]})
 
     return run
 
@@ -138,17 +145,20 @@ def _packer(capacity: int, last: bool):
 def pack(rows: DataFrame, n_rows: int, capacity: int = CAPACITY, part_rows: int = PART_ROWS, rounds: int = ROUNDS) -> DataFrame:
     """``rows``: row (unique long), length (1..capacity). Returns row, sequence_id, offset."""
     parts = max(1, -(-n_rows // part_rows))
-    done, left = [], rows
+    done, left, before = [], rows, None
     for k in range(rounds + 1):
-        last = k == rounds or parts == 1
         deal = F.pmod(F.xxhash64("row", F.lit(k)), F.lit(parts))
-        placed = staged(left.withColumn("part", deal).groupBy("part").applyInPandas(_packer(capacity, last), PLACED), "packed")
-        kept = placed.where(~F.col("gap") | F.col("full"))
-        done.append(kept.select("row", F.col("bin").alias("sequence_id"), "offset"))
-        if last or not placed.where(F.col("gap") & ~F.col("full")).take(1):
+        placed = staged(left.withColumn("part", deal).groupBy("part").applyInPandas(_packer(capacity), PLACED), "packed")
+        if before is not None and placed.select("bin").distinct().count() >= n_before:
+            placed, parts = before, 1  # the exchange saved nothing: the bins stay as they were
+        last = k == rounds or parts == 1
+        done.append((placed if last else placed.where(~F.col("open"))).select("row", F.col("bin").alias("sequence_id"), "offset"))
+        if last:
             break
-        left = placed.where(F.col("gap") & ~F.col("full")).select("row", "length")
-        parts = max(1, -(-parts // MERGE))
+        before = placed.where("open")
+        n_before = before.select("bin").distinct().count()
+        left = before.select("row", "length")
+        parts = -(-parts // MERGE)
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
