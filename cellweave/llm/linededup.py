@@ -5,7 +5,8 @@ from the start and read ``<*>``. The tree has fixed depth: token count, then the
 first ``LEADING`` tokens; together they name a leaf. Inside a leaf a token stays
 constant where ``docs`` documents or more have it at its position, else the field
 is generalised to ``<*>``; a line of which fewer than ``SIMILAR`` of the tokens
-stay constant is a template of its own. Templates that ``docs`` distinct texts or
+stay constant is a template of its own, word for word (so rows of mere numbers
+aren't all alike). Templates that ``docs`` distinct texts or
 more share are recurring and are dropped from every document but the first
 (smallest id) that has one.
 
@@ -47,19 +48,19 @@ def _masked(line: Column) -> Column:
 
 
 def _lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, a, b (hashes of id and text), content (of the text), pos, masked, leaf, sig of each line that has tokens."""
+    """doc_id, a, b (hashes of id and text), content (of the text), pos, masked, raw (hash), leaf, sig of each line that has tokens."""
     text = F.col(text_col).cast("string")
     docs = df.select(
         F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text).alias("a"), F.xxhash64(F.lit("b"), text, id_col).alias("b"),
         F.xxhash64(text).alias("content"), F.posexplode(F.split(F.translate(text, BLANKS, " " * len(BLANKS)), "\n")).alias("pos", "line"),
     )
-    rows = docs.withColumn("line", F.trim("line")).where("line <> ''").withColumn("masked", _masked(F.col("line"))).drop("line")
+    rows = docs.withColumn("line", F.trim("line")).where("line <> ''").withColumns({"masked": _masked(F.col("line")), "raw": F.xxhash64("line")}).drop("line")
     tokens = F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit("")))
     return rows.withColumns({"leaf": F.xxhash64(tokens, F.substring_index("masked", " ", LEADING)), "sig": F.xxhash64("masked")})
 
 
 def _templates(lines: DataFrame, often: DataFrame, docs: int) -> DataFrame:
-    """``lines``: with their masked text, in buckets of ``often`` leaves. Per leaf and sig its template (a hash)."""
+    """``lines``: with their masked text, in buckets of ``often`` leaves. Per leaf and sig its template (a hash; null: the line itself)."""
     held = lines.join(often, "leaf", "left_semi").select("leaf", "sig", "content", "masked")
     one = held.groupBy("leaf", "sig", "content").agg(F.first("masked").alias("masked"))
     one = staged(one.groupBy("leaf", "sig").agg(F.count("*").alias("n"), F.first("masked").alias("masked")), "lines")
@@ -69,8 +70,8 @@ def _templates(lines: DataFrame, often: DataFrame, docs: int) -> DataFrame:
     fields = F.when(F.col("constant"), F.xxhash64("p", "token")).otherwise(F.xxhash64("p", F.lit(FIELD)))
     # A template's hash is the sum of its fields' hashes, so fields needn't be gathered; the leaf gives their number.
     total = F.sum(fields.cast("decimal(38,0)"))
-    made = marked.groupBy("leaf", "sig").agg(total.alias("total"), F.avg(F.col("constant").cast("double")).alias("constant"))
-    return made.select("leaf", "sig", F.when(F.col("constant") >= SIMILAR, F.xxhash64("leaf", "total")).otherwise(F.xxhash64("leaf", "sig")).alias("template"))
+    made = marked.groupBy("leaf", "sig").agg(total.alias("total"), F.avg((F.col("constant") & (F.col("token") != FIELD)).cast("double")).alias("constant"))
+    return made.select("leaf", "sig", F.when(F.col("constant") >= SIMILAR, F.xxhash64("leaf", "total")).alias("template"))
 
 
 def recurring(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs: int = DOCS) -> tuple[DataFrame, DataFrame]:
@@ -83,7 +84,8 @@ def recurring(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", doc
     buckets = F.broadcast(often.select(bucket.alias("bucket")).distinct())
     near = lines.join(buckets, bucket == F.col("bucket"), "left_semi")
     named = staged(_templates(near, often, docs), "templates")
-    held = staged(short.join(named, ["leaf", "sig"]).drop("leaf", "sig"), "held")
+    held = short.join(named, ["leaf", "sig"]).withColumn("template", F.coalesce("template", F.xxhash64("leaf", "raw")))
+    held = staged(held.drop("leaf", "sig", "raw"), "held")
     texts = held.groupBy("template", "content").agg(F.min(F.struct("doc_id", "a", "b")).alias("first"))
     shared = texts.groupBy("template").agg(F.count("*").alias("n"), F.min("first").alias("first")).where(F.col("n") >= docs)
     gone = held.join(staged(shared.drop("n"), "shared"), "template").where(~((F.col("a") == F.col("first.a")) & (F.col("b") == F.col("first.b"))))
@@ -118,7 +120,8 @@ WITH d AS (
   SELECT r, doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d
 ), l AS (
   SELECT *, string_split(masked, ' ') AS tok FROM (
-    SELECT r, doc_id, text, i, regexp_replace(regexp_replace(regexp_replace(line, '^[ \t\x0B\f\r]+|[ \t\x0B\f\r]+$', '', 'g'), '[ \t\x0B\f\r]+', ' ', 'g'), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS masked FROM e
+    SELECT *, regexp_replace(regexp_replace(raw, ' +', ' ', 'g'), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS masked
+    FROM (SELECT r, doc_id, text, i, trim(regexp_replace(line, '[\t\x0B\f\r]', ' ', 'g')) AS raw FROM e)
   ) WHERE masked <> ''
 ), k AS (
   SELECT *, len(tok) AS n, array_to_string(tok[1:{leading}], ' ') AS lead FROM l
@@ -131,12 +134,12 @@ WITH d AS (
 ), sup AS (
   SELECT n, lead, p, token FROM each GROUP BY n, lead, p, token HAVING sum(c) >= {docs}
 ), made AS (
-  SELECT n, lead, masked, string_agg(CASE WHEN sup.p IS NULL THEN '<*>' ELSE each.token END, ' ' ORDER BY each.p) AS template, avg((sup.p IS NOT NULL)::INT) AS share
+  SELECT n, lead, masked, string_agg(CASE WHEN sup.p IS NULL THEN '<*>' ELSE each.token END, ' ' ORDER BY each.p) AS template, avg((sup.p IS NOT NULL AND each.token <> '<*>')::INT) AS share
   FROM each LEFT JOIN sup USING (n, lead, p, token) GROUP BY n, lead, masked
 ), named AS (
-  SELECT n, lead, masked, CASE WHEN share >= {similar} THEN 't' || template ELSE 's' || masked END AS template FROM made
+  SELECT n, lead, masked, CASE WHEN share >= {similar} THEN 't' || template END AS template FROM made
 ), held AS (
-  SELECT r, doc_id, text, i, template, n, lead FROM k JOIN named USING (n, lead, masked)
+  SELECT r, doc_id, text, i, coalesce(template, 'r' || raw) AS template, n, lead FROM k JOIN named USING (n, lead, masked)
 ), shared AS (
   SELECT n, lead, template, min(coalesce(doc_id, -9223372036854775808)) AS first FROM held GROUP BY n, lead, template HAVING count(DISTINCT text) >= {docs}
 ), gone AS (
