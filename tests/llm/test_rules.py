@@ -4,7 +4,7 @@ import re
 from collections import Counter
 
 import pytest
-from conftest import same_rows, tables
+from checks import same_rows, tables
 from pyspark.sql import functions as F
 
 from cellweave.llm import linededup, quality, urls

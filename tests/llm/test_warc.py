@@ -6,7 +6,7 @@ import hashlib
 import io
 
 import pytest
-from conftest import same_rows, tables
+from checks import same_rows, tables
 
 from cellweave.llm import warc
 from cellweave.llm.queries import op1_warc
