@@ -275,3 +275,57 @@ def mark_used(rows: DataFrame, ids: DataFrame, now: int) -> DataFrame:
 def supersede(rows: DataFrame, ids: DataFrame) -> DataFrame:
     found = ids.select("ns", "id").distinct().withColumn("hit", F.lit(True))
     return rows.join(found, ["ns", "id"], "left").withColumn("superseded", F.col("superseded") | F.coalesce("hit", F.lit(False))).select(*rows.columns)
+
+
+def link(links: DataFrame, more: DataFrame) -> DataFrame:
+    """``links`` with ``more`` (ns, src, dst, weight); of equal links the heavier stays."""
+    return links.unionByName(more).groupBy("ns", "src", "dst").agg(F.max("weight").alias("weight"))
+
+
+def forget(rows: DataFrame, links: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables without the memories in ``ids`` (ns, id) and their links."""
+    gone = ids.select("ns", "id").distinct()
+    left = links.join(gone.withColumnRenamed("id", "src"), ["ns", "src"], "left_anti").join(gone.withColumnRenamed("id", "dst"), ["ns", "dst"], "left_anti")
+    return rows.join(gone, ["ns", "id"], "left_anti"), left.select(*links.columns)
+
+
+def remember(rows: DataFrame, new: DataFrame, links: DataFrame, near: str = "link", similarity: float = 0.95) -> tuple[DataFrame, DataFrame]:
+    """``rows`` and ``links`` after ``new`` memories are stored.
+
+    One whose squeezed text is there already adds a use to the oldest such memory and
+    raises its importance. A near duplicate of an older memory is skipped, merged (as
+    above) or stored with a link, as ``near`` says: skip, merge or link.
+    """
+    if near not in ("skip", "merge", "link"):
+        raise ValueError("near is skip, merge or link")
+    everyone = cut_lineage(rows.withColumn("fresh", F.lit(False)).unionByName(new.withColumn("fresh", F.lit(True))).withColumn("squeezed", squeezed(F.col("text"))))
+    order = F.struct("fresh", "created", "id")
+    groups = everyone.groupBy("ns", "squeezed").agg(F.min(order).alias("first"), F.max("importance").alias("top"), F.sum(F.col("fresh").cast("int")).alias("more"))
+    joined = everyone.join(groups, ["ns", "squeezed"])
+    kept = joined.where(F.struct("fresh", "created", "id") == F.col("first"))
+    # A fresh first one isn't a use of itself.
+    kept = kept.withColumns({"importance": F.greatest("importance", "top"), "uses": F.col("uses") + F.col("more") - F.col("fresh").cast("int")})
+    kept = cut_lineage(kept.select(*rows.columns, "fresh"))
+    pairs = near_duplicates(kept, similarity).join(kept.where("fresh").select("ns", "id"), ["ns", "id"], "left_semi")
+    if near == "link":
+        return kept.drop("fresh"), link(links, pairs.select("ns", F.col("id").alias("src"), F.col("of").alias("dst"), F.col("similarity").alias("weight")))
+    left = kept.join(pairs.select("ns", "id"), ["ns", "id"], "left_anti")
+    if near == "merge":
+        gained = pairs.join(kept.select("ns", "id", F.col("importance").alias("i")), ["ns", "id"]).groupBy("ns", F.col("of").alias("id")).agg(F.max("i").alias("i"), F.count("*").alias("n"))
+        left = left.join(gained, ["ns", "id"], "left").withColumns({"importance": F.greatest("importance", "i"), "uses": F.col("uses") + F.coalesce("n", F.lit(0))})
+    return left.select(*rows.columns), links
+
+
+def consolidate(rows: DataFrame, groups: DataFrame, fold, ns: str, now: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Semantic memories that ``fold`` (list of texts, oldest first, to one text) makes of each group; ``rows`` with their sources marked; links to the sources."""
+    parts = rows.where(F.col("ns") == ns).join(groups.select("id", "grp"), "id")
+    listed = parts.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("created", "id", "text"))).alias("m"), F.max("importance").alias("importance"), F.first("session").alias("session"))
+
+    @F.pandas_udf("string")
+    def run(m: pd.Series) -> pd.Series:
+        return m.map(lambda own: fold([x["text"] for x in own]))
+
+    made = memories(listed, ns=F.lit(ns), id=-F.col("grp") - 1, created=F.lit(now), kind=F.lit("semantic"), text=run("m"), importance=F.col("importance"), session=F.col("session"))
+    done = groups.select(F.lit(ns).alias("ns"), "id", F.lit(True).alias("hit"))
+    marked = rows.join(done, ["ns", "id"], "left").withColumn("consolidated", F.col("consolidated") | F.coalesce("hit", F.lit(False))).select(*rows.columns)
+    return made, marked, groups.select(F.lit(ns).alias("ns"), (-F.col("grp") - 1).alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("weight"))

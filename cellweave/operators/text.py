@@ -98,15 +98,16 @@ def parse(query: str) -> list[Term | Phrase | Fuzzy]:
     return list(dict.fromkeys(out))
 
 
-def tokenize(df: DataFrame, id_col: str, text_col: str, stop_words: bool = False, form: str | None = "NFC") -> DataFrame:
-    """id, term, position, start, end (bytes): terms of over 64 bytes and those past the first 10,000 are left out. Null text has none."""
+def tokenize(df: DataFrame, id_col: str, text_col: str, stop_words: bool = False, form: str | None = "NFC", tokenizer=None) -> DataFrame:
+    """``tokenizer``: a function from a text to (term, position, start, end) in place of the built-in one. id, term, position, start, end (bytes): terms of over 64 bytes and those past the first 10,000 are left out. Null text has none."""
     kind = df.schema[id_col].dataType.simpleString()
+    own = tokenizer or (lambda text: words(text, stop_words, form))
 
     def run(batches):
         for batch in batches:
             ids, terms, positions, starts, ends = [], [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for term, p, a, b in words(text or "", stop_words, form)[:MAX_TERMS]:
+                for term, p, a, b in own(text or "")[:MAX_TERMS]:
                     if len(term.encode()) <= MAX_TERM_BYTES:
                         ids.append(key)
                         terms.append(term)
@@ -126,9 +127,9 @@ class Index:
         self._stats: tuple | None = None
 
     @classmethod
-    def build(cls, df: DataFrame, id_col: str, text_col: str, stop_words: bool = False, form: str | None = "NFC", **options) -> Index:
+    def build(cls, df: DataFrame, id_col: str, text_col: str, stop_words: bool = False, form: str | None = "NFC", tokenizer=None, **options) -> Index:
         """Both tables are written to the shared folder: later searches read them, not the texts."""
-        tokens = tokenize(df, id_col, text_col, stop_words, form)
+        tokens = tokenize(df, id_col, text_col, stop_words, form, tokenizer)
         postings = cut_lineage(tokens.groupBy("id", "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions")).sortWithinPartitions("term"))
         docs = cut_lineage(df.select(F.col(id_col).alias("id")).distinct().join(postings.groupBy("id").agg(F.sum("tf").alias("len")), "id", "left").select("id", F.coalesce("len", F.lit(0)).alias("len")))
         return cls(docs, postings, stop_words, **options)
