@@ -196,7 +196,7 @@ def exact_dedup(rows: DataFrame) -> DataFrame:
     return out
 
 
-def near_duplicates(rows: DataFrame, similarity: float = 0.95, bits: int = 8, tables: int = 12, seed: int = 7) -> DataFrame:
+def near_duplicates(rows: DataFrame, similarity: float = 0.95, bits: int = 8, tables: int = 20, seed: int = 7) -> DataFrame:
     """ns, id, of, similarity: each memory's nearest older one at cosine ``similarity`` or more.
 
     Candidates share a bucket of signs of random projections in one of ``tables``
@@ -223,7 +223,7 @@ def near_duplicates(rows: DataFrame, similarity: float = 0.95, bits: int = 8, ta
     def norm(c):
         return F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
-    pairs = own.join(other, ["ns", "key"]).where(older).withColumn("similarity", dot / (norm("embedding") * norm("of_embedding"))).where(F.col("similarity") >= similarity)
+    pairs = own.join(other, ["ns", "key"]).where(older).withColumn("similarity", F.try_divide(dot, norm("embedding") * norm("of_embedding"))).where(F.col("similarity") >= similarity)
     return pairs.groupBy("ns", "id").agg(F.max_by("of", F.struct("similarity", -F.col("of"))).alias("of"), F.max("similarity").alias("similarity"))
 
 

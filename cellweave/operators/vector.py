@@ -19,7 +19,7 @@ MOST_QUERIES = 65_536
 
 
 def distance(vector: Column, query: list[float], metric: str) -> Column:
-    """Smaller is nearer: squared L2, negated inner product, 1 - cosine. Doubles throughout."""
+    """Smaller is nearer: squared L2, negated inner product, 1 - cosine (null for zero vectors). Doubles throughout."""
     q = F.array(*[F.lit(float(x)) for x in query])
     dot = F.aggregate(F.zip_with(vector, q, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
     if metric == "l2":
@@ -28,7 +28,7 @@ def distance(vector: Column, query: list[float], metric: str) -> Column:
         return -dot
     if metric == "cosine":
         norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-        return 1 - dot / (norm * float(np.sqrt(np.square(np.array(query, float)).sum())))
+        return 1 - F.try_divide(dot, norm * float(np.sqrt(np.square(np.array(query, float)).sum())))
     raise ValueError(f"metric {metric} isn't one of {METRICS}")
 
 
@@ -49,8 +49,6 @@ def hamming(bits: Column, query: list[int]) -> Column:
 def nearest(selected: DataFrame, query: list[float], k: int, metric: str = "l2") -> DataFrame:
     """row, qualifier, distance of the k nearest, by (distance, row, qualifier); other shapes, NaN and zero norms are skipped."""
     fits = selected.where(F.size("value_vec") == len(query))
-    if metric == "cosine":  # undefined for a zero vector, and a division by zero otherwise
-        fits = fits.where(F.exists("value_vec", lambda x: x != 0))
     found = fits.select("row", "qualifier", distance(F.col("value_vec"), query, metric).alias("distance"))
     return found.where(~F.isnan("distance")).orderBy("distance", "row", "qualifier").limit(k)
 

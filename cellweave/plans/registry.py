@@ -437,9 +437,9 @@ def check_and_mutate(spark, d):
 
 
 @query(f"""SELECT DISTINCT a.event_id AS txn FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = b.event_type
-WHERE a.event_id % 7 = 0 AND b.event_id > a.event_id AND b.event_id < a.event_id + 300""")
+WHERE b.event_id > a.event_id AND b.event_id < a.event_id + 300""")
 def occ_conflicts(spark, d):
-    own = encode.table(spark, d, "events").where("event_id % 7 = 0")
+    own = encode.table(spark, d, "events")
     reads = own.select(F.col("event_id").alias("txn"), utf8(F.concat(F.lit("u:"), F.lpad(F.col("user_id").cast("string"), 8, "0"))).alias("row"), F.lit("ev").alias("family"), utf8("event_type").alias("qualifier"), F.col("event_id").alias("start"), (F.col("event_id") + 300).alias("commit"))
     return write.conflicts(encode.events(spark, d), reads)
 
@@ -683,7 +683,13 @@ def phrase_slop(spark, d):
     return _hits(_index(spark, d).search('"the of"~3', 20))
 
 
-@query()
+def _expanded(name: str, term: str, edits: int) -> str:
+    return f"""{name} AS (SELECT term, d, max(df) OVER () AS df FROM (SELECT term, df, damerau_levenshtein(term, '{term}') AS d FROM df WHERE damerau_levenshtein(term, '{term}') <= {edits} ORDER BY d, df DESC, term LIMIT 50)),
+{name}_hits AS (SELECT id, max(ln(1 + (n - df + 0.5) / (df + 0.5)) * {_TFN} * (1 - d / least({len(term)}, length(term))::DOUBLE)) AS score FROM post JOIN {name} USING (term) JOIN len USING (id), st GROUP BY id)"""
+
+
+@query(f"""{_TEXTS}, df AS (SELECT term, count(*) AS df FROM post GROUP BY term), {_expanded("a", "thign", 1)}, {_expanded("b", "ention", 1)}
+SELECT id, round(sum(score), 6) AS score FROM (SELECT * FROM a_hits UNION ALL SELECT * FROM b_hits) GROUP BY id ORDER BY score DESC, id LIMIT 20""")
 def fuzzy_terms(spark, d):
     return _hits(_index(spark, d).search("thign~ ention~1", 20))
 
@@ -702,10 +708,10 @@ def exact_dedup(spark, d):
 
 
 def _memories(spark, d) -> DataFrame:
-    """Turns as memories of one namespace; every embedding is used again for turns with its number."""
+    """Turns as memories of one namespace; the embeddings are used again in turn."""
     turns = encode.table(spark, d, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
-    vectors = encode.table(spark, d, "embeddings").where("vec_id < 500").select("vec_id", "embedding")
-    rows = turns.withColumn("vec_id", F.col("id") % 500).join(vectors, "vec_id", "left")
+    vectors = encode.table(spark, d, "embeddings").select("vec_id", "embedding")
+    rows = turns.withColumn("vec_id", F.col("id") % F.lit(vectors.count())).join(vectors, "vec_id", "left")
     return memory.memories(
         rows, ns=F.lit("a"), id=F.col("id"), created=F.col("id") * 60_000_000, text=F.col("text"), embedding=F.col("embedding"), importance=(F.col("id") % 10) / 10.0, uses=F.col("turn") % 3,
         last_used=F.when(F.col("turn") % 3 > 0, F.col("id") * 60_000_000 + 30_000_000), session=F.col("conv_id").cast("string"), pinned=F.col("id") % 50 == 0,
@@ -716,9 +722,9 @@ _MEM = "SELECT conv_id * 1000 + turn AS id, (conv_id * 1000 + turn) * 60000000 A
 _AT = 600_000 * 60_000_000
 _SIG = f"""{_TEXTS}, df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 kw AS (SELECT id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * {_TFN}) AS keyword FROM post JOIN df USING (term) JOIN len USING (id), st WHERE term IN ('the', 'thing') GROUP BY id),
-mem AS ({_MEM}), vec AS (SELECT vec_id, list_inner_product(embedding::DOUBLE[], {_Q_SQL}) / (sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_inner_product({_Q_SQL}, {_Q_SQL}))) AS vector FROM embeddings WHERE vec_id < 500),
+mem AS ({_MEM}), vec AS (SELECT vec_id, list_inner_product(embedding::DOUBLE[], {_Q_SQL}) / (sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_inner_product({_Q_SQL}, {_Q_SQL}))) AS vector FROM embeddings),
 sig AS (SELECT id, created, vector, keyword, exp(-({_AT} - created) / {memory.WEEK_US}::DOUBLE) AS recency, importance,
-  CASE WHEN uses > 0 THEN ln(1 + uses) * exp(-({_AT} - last_used) / {memory.WEEK_US}::DOUBLE) END AS used FROM mem LEFT JOIN kw USING (id) LEFT JOIN vec ON vec_id = id % 500),
+  CASE WHEN uses > 0 THEN ln(1 + uses) * exp(-({_AT} - last_used) / {memory.WEEK_US}::DOUBLE) END AS used FROM mem LEFT JOIN kw USING (id) LEFT JOIN vec ON vec_id = id % (SELECT count(*) FROM embeddings)),
 cand AS (SELECT * FROM sig WHERE id IN (SELECT id FROM sig ORDER BY created DESC, id LIMIT 50) OR id IN (SELECT id FROM sig WHERE vector IS NOT NULL ORDER BY vector DESC, id LIMIT 50) OR id IN (SELECT id FROM sig WHERE keyword IS NOT NULL ORDER BY keyword DESC, id LIMIT 50))"""
 _W = dict(zip(("vector", "keyword", "recency", "importance", "used"), memory.WEIGHTS, strict=False))
 _RRF = " + ".join(f"CASE WHEN {x} IS NULL THEN 0 ELSE {w} / (60 + rank() OVER (PARTITION BY {x} IS NULL ORDER BY {x} DESC)) END" for x, w in _W.items())
@@ -753,7 +759,10 @@ def forget_due(spark, d):
     return memory.due(_memories(spark, d), _AT, 0.05).select("id", F.round("retention", 6).alias("retention"))
 
 
-@query()
+@query(f"""WITH v AS (SELECT conv_id * 1000 + turn AS id, embedding::DOUBLE[] AS v FROM conversations JOIN embeddings ON vec_id = (conv_id * 1000 + turn) % (SELECT count(*) FROM embeddings)),
+u AS (SELECT id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM v),
+p AS (SELECT a.id, b.id AS "of", round(list_inner_product(a.v, b.v), 6) AS similarity FROM u a JOIN u b ON b.id < a.id WHERE list_inner_product(a.v, b.v) >= 0.95)
+SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY similarity DESC, "of") = 1""")
 def near_duplicates(spark, d):
     return memory.near_duplicates(_memories(spark, d)).select("id", "of", F.round("similarity", 6).alias("similarity"))
 
