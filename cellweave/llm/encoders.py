@@ -7,6 +7,7 @@ for which the cut isn't proven safe goes to the library whole.
 
 from __future__ import annotations
 
+import gc
 from array import array
 
 #: Distinct chunks that one worker remembers (about 200 bytes each).
@@ -94,20 +95,20 @@ class ByteBpe:
         text = "Ġ" * bool(blank) + word if word.isascii() else text.encode().decode("latin-1").translate(self.bytes)
         return array("I", [x.id for x in self.model.tokenize(text)]).tobytes()
 
-    def _chunks(self, chunks: list[str], blank: str) -> list[bytes | None]:
-        """None: this chunk's text can't be cut there. Words, bare or with the commonest ends, skip the library's own cutting."""
-        out, rest = {}, []
+    def _chunks(self, chunks: list[str], blank: str) -> list[bytes | bool]:
+        """False: this chunk's text can't be cut there. Words, bare or with the commonest ends, skip the library's own cutting."""
+        out, rest, known = {}, [], self.later if blank else self.first
         for x in chunks:
             if x.isalpha() and max(x) < LATIN_END:
                 out[x] = self._word(blank, x)
             elif not x or x[0].isspace() or x[-1].isspace():
-                out[x] = None
+                out[x] = False
             elif max(x) >= LATIN_END:
                 rest.append(x)
             elif (word := x[:-1]).isalpha() and x[-1] in ".,":
-                out[x] = self._word(blank, word) + (self.dot if x[-1] == "." else self.comma)
+                out[x] = (known.get(word) or self._word(blank, word)) + (self.dot if x[-1] == "." else self.comma)
             elif len(two := x.split(".\n")) == 2 and two[0].isalpha() and two[1].isalpha():
-                out[x] = self._word(blank, two[0]) + self.dot + self.line + self._word("", two[1])
+                out[x] = (known.get(two[0]) or self._word(blank, two[0])) + self.dot + self.line + self._word("", two[1])
             else:
                 rest.append(x)
         out.update(zip(rest, self.whole([blank + x for x in rest]), strict=True))
@@ -115,8 +116,18 @@ class ByteBpe:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers."""
+        collects = gc.isenabled()
+        gc.disable()  # nothing made here is cyclic, and the memory is large to walk
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        whole, cut, starts, rest = [], [], set(), set()
+        whole, cut, starts, missing = [], [], set(), set()
+        known = self.later.get
         for i, text in enumerate(texts):
             if any(x in text for x in self.added):
                 whole.append(i)
@@ -124,16 +135,22 @@ class ByteBpe:
                 chunks = text.split(" ")
                 start = chunks[0]
                 del chunks[0]
-                cut.append((i, start, chunks))
+                parts, holes = list(map(known, chunks)), ()
+                if None in parts:
+                    holes = [k for k, x in enumerate(parts) if x is None]
+                    missing.update([chunks[k] for k in holes])
+                    holes = [(k, chunks[k]) for k in holes]
+                cut.append((i, start, parts, holes))
                 starts.add(start)
-                rest.update(chunks)
         starts.discard("")
         first, later = self.first, self.later
         first.learn(starts)
-        later.learn(rest)
-        for i, start, chunks in cut:
+        later.learn(missing)
+        for i, start, parts, holes in cut:
+            for k, chunk in holes:
+                parts[k] = later[chunk]
             try:
-                out[i] = b"".join([first[start] if start else b"", *[later[x] for x in chunks]])
+                out[i] = (first[start] if start else b"") + b"".join(parts)
             except TypeError:
                 whole.append(i)
         first.forget()
