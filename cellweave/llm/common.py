@@ -7,8 +7,10 @@ absent (tests on one machine) a temporary folder is made and registered.
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -31,6 +33,7 @@ def shared_root(spark: SparkSession) -> str:
         root = sc.getCheckpointDir()
         if not root:
             root = tempfile.mkdtemp(prefix="cellweave-")
+            atexit.register(shutil.rmtree, root, ignore_errors=True)
             sc.setCheckpointDir(root)
     return root.rstrip("/")
 

@@ -10,8 +10,8 @@ are blocks that a seeded permutation picks. What integers leave between quota
 and target, less than a block, is taken from or added to the source's largest
 shard, so a source's words come to its target exactly.
 
-The driver sees one number per source and shard (SHARDS + sources of them), never
-documents. Reruns give the same mix: order and choice hang on seed, id and text.
+The driver sees one number per source and shard (SHARDS + sources of them, and of
+sources MOST_SOURCES at most), never documents. Reruns give the same mix: order and choice hang on seed, id and text.
 
 Defined cases: null or empty texts have size 0 and are never taken; a null source
 is the last source; repeated rows are taken each by itself; other columns are
@@ -36,6 +36,8 @@ WEIGHTS = (5, 2, 1)
 PERCENT = 150
 CAP = 2
 SEED = 17
+#: Sources at most: their list is the mix's configuration, held by the driver and broadcast.
+MOST_SOURCES = 100_000
 #: Shards of the whole corpus, about; and words that a shard has at least.
 SHARDS = 2048
 SHARD_WORDS = 8192
@@ -123,7 +125,9 @@ def plan(rows: DataFrame, weights=WEIGHTS, percent: int = PERCENT, cap: int = CA
     """``rows``: what _sized adds. What each source and shard gives to the mix."""
     spark = rows.sparkSession
     # One row per source: the mix's own configuration.
-    sizes = rows.groupBy(_own("source").alias("source")).agg(F.sum(_own("size")).alias("n")).collect()
+    sizes = rows.groupBy(_own("source").alias("source")).agg(F.sum(_own("size")).alias("n")).limit(MOST_SOURCES + 1).collect()
+    if len(sizes) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources: group them first")
     sizes = sorted(((x["source"], x["n"]) for x in sizes), key=lambda x: (x[0] is None, x[0] or ""))
     goal = targets([n for _, n in sizes], weights, percent, cap)
     part = max(SHARD_WORDS, -(-sum(n for _, n in sizes) // shards))

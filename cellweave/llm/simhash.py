@@ -1,4 +1,4 @@
-"""SimHash near-duplicates by pigeonhole blocks.
+"""SimHash near-duplicates by shared blocks of bits.
 
 Fingerprints come from one narrow pass. Equal fingerprints collapse first, so a
 group of exact copies is one row from there on. The distinct ones are cut into

@@ -166,3 +166,30 @@ def test_query_covers_all_pages(spark, sf):
     spam = [x for x in rows if x["rule"] is None and re.search("casino|pills|spam|adult|bets|track", x["host"])]
     assert all(x["verdict"] == "block" for x in spam)
     assert all(x["verdict"] == "allow" for x in rows if x["rule"] is None and re.search(r"\bth", x["host"]))
+
+
+def test_bayes_counts(spark):
+    """The distributed counts are those of plain Python."""
+    segmenter = urls.Segmenter({"cheap": 9, "pills": 9, "good": 9, "news": 9})
+    rows = [("cheappills.com", "/a"), ("goodnews.com", "/b/c"), ("goodnews.com", ""), ("", "")] * 7
+    got = urls.train(spark.createDataFrame(rows, "host string, path string").repartition(3), segmenter)
+    counts, labels = Counter(), Counter()
+    for host, path in rows:
+        tokens = segmenter.tokens(host, path)
+        label = any(t[2:] in urls.SEEDS for t in tokens)
+        labels[label] += 1
+        counts.update((label, urls._feature(t)) for t in tokens)
+    want = urls.Bayes(dict(counts), dict(labels))
+    assert (got.prior, got.base, got.weight) == (want.prior, want.base, want.weight)
+
+
+def test_held_out_accuracy(spark):
+    """Trained on one half of the urls, the classifier finds the blocked ones of the other through words that aren't seeds."""
+    spam = [(f"www.{a}{b}.example.com", f"/{c}/") for a in ("cheap", "easy", "super") for b in ("pills", "casino") for c in ("win", "bonus", "deal", "offer")]
+    clean = [(f"www.{a}{b}.example.com", f"/{c}/") for a in ("north", "river", "stone") for b in ("school", "museum") for c in ("visit", "history", "music", "staff")]
+    words = "cheap easy super pills casino north river stone school museum".split()
+    segmenter = urls.Segmenter(dict.fromkeys(words, 50))
+    model = urls.train(spark.createDataFrame((spam[::2] + clean[::2]) * 5, "host string, path string"), segmenter)
+    hidden = [(h.replace("pills", "school").replace("casino", "school"), p) for h, p in spam[1::2]]
+    found = sum(model.score(segmenter.tokens(h, p)) > 0 for h, p in hidden) + sum(model.score(segmenter.tokens(h, p)) <= 0 for h, p in clean[1::2])
+    assert found / (len(hidden) + len(clean[1::2])) >= 0.9
