@@ -21,6 +21,8 @@ from .select import running
 NODE_BYTES, PARENT_BYTES = 16, 4
 MOST_HOPS = 64
 MAX_NODES = 10_000_000
+#: Nodes that one task may number.
+FEW = 100_000
 
 
 @dataclass
@@ -35,8 +37,13 @@ def edges_of(selected: DataFrame) -> DataFrame:
     return selected.select(F.col("row").alias("src"), F.col("qualifier").alias("dst")).distinct()
 
 
-def _numbered(nodes: DataFrame) -> DataFrame:
-    """``nodes`` with index: the place in key order, found by range partitions and their counts."""
+def _numbered(nodes: DataFrame, n: int) -> DataFrame:
+    """``nodes`` (``n`` of them) with index: the place in key order.
+
+    A few are counted in one task; many by range partitions and their totals.
+    """
+    if n <= FEW:
+        return nodes.withColumn("index", F.row_number().over(Window.orderBy("node")).cast("bigint") - 1)
     return running(nodes.withColumn("one", F.lit(1)), "node", "one", "index").drop("one")
 
 
@@ -50,12 +57,13 @@ def traverse(edges: DataFrame, seeds: DataFrame, hops: int, per_node_limit: int
     if not 1 <= hops <= MOST_HOPS:
         raise ValueError("hops must be 1 to 64")
     if per_node_limit is not None:
-        first = Window.partitionBy("src").orderBy("dst")
-        edges = edges.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_node_limit).drop("n")
-    frontier = cut_lineage(_numbered(seeds.select("node").distinct()))
+        order = Window.partitionBy("src").orderBy("dst")
+        edges = edges.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_node_limit).drop("n")
+    first = cut_lineage(seeds.select("node").distinct())
+    total = first.count()
+    frontier = cut_lineage(_numbered(first, total))
     visited = frontier.select("node", F.lit(0).alias("hop"), "index", F.lit(None).cast("bigint").alias("parent"))
     stats = {"rows": 0, "edges": 0, "hops_cut": 0, "cut_by_max_nodes": False, "cut_by_budget": False}
-    total = frontier.count()
     spent = 0
     if byte_budget is not None:
         each = NODE_BYTES + (PARENT_BYTES if parents else 0)
@@ -90,7 +98,7 @@ def traverse(edges: DataFrame, seeds: DataFrame, hops: int, per_node_limit: int
                 spent += size
         if not n:
             break
-        frontier = cut_lineage(_numbered(found))
+        frontier = cut_lineage(_numbered(found, n))
         visited = visited.unionByName(frontier.select("node", F.lit(hop).alias("hop"), "index", F.col("parent").cast("bigint").alias("parent")))
         total += n
         if last:

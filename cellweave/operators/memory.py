@@ -197,13 +197,15 @@ def exact_dedup(rows: DataFrame) -> DataFrame:
 
 
 def near_duplicates(rows: DataFrame, similarity: float = 0.95, bits: int = 8, tables: int = 20, seed: int = 7) -> DataFrame:
-    """ns, id, of, similarity: each memory's nearest older one at cosine ``similarity`` or more.
+    """ns, id, of, similarity: each memory's nearest older one at cosine ``similarity`` or more; of equally near ones the oldest.
 
-    Candidates share a bucket of signs of random projections in one of ``tables``
-    tables, so no namespace is paired with itself; found pairs are exact, and a pair
-    at ``similarity`` shares a bucket with the probability that these two figures give.
+    Equal embeddings are one: all but the oldest are nearest to that one, and it alone
+    is compared with others. Candidates share a bucket of signs of random projections
+    in one of ``tables`` tables, so no namespace is paired with itself; found pairs are
+    exact, and a pair at ``similarity`` shares a bucket with the probability that these
+    two figures give.
     """
-    rows = rows.where(F.col("embedding").isNotNull())
+    rows = rows.where(F.col("embedding").isNotNull() & F.exists("embedding", lambda x: x != 0))
     one = rows.select(F.size("embedding").alias("n")).first()
     dim = one["n"] if one else 1
     planes = np.random.default_rng(seed).normal(size=(tables * bits, dim))
@@ -215,16 +217,21 @@ def near_duplicates(rows: DataFrame, similarity: float = 0.95, bits: int = 8, ta
         signs = (np.stack(vec.to_numpy()).astype(float) @ planes.T > 0).reshape(len(vec), tables, bits)
         return pd.Series(list((signs * (1 << np.arange(bits))).sum(axis=2) + (np.arange(tables) << bits)))
 
-    own = rows.select("ns", "id", "created", "embedding", F.explode(keys("embedding")).alias("key"))
-    other = own.select("ns", "key", F.col("id").alias("of"), F.col("created").alias("of_created"), F.col("embedding").alias("of_embedding"))
-    older = (F.col("of_created") < F.col("created")) | ((F.col("of_created") == F.col("created")) & (F.col("of") < F.col("id")))
-    dot = F.aggregate(F.zip_with("embedding", "of_embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    marked = rows.where(F.size("embedding") == dim).select("ns", "id", "created", "embedding", F.xxhash64("embedding").alias("same"))
+    heads = marked.groupBy("ns", "same").agg(F.min(F.struct("created", "id")).alias("head"), F.min_by("embedding", F.struct("created", "id")).alias("embedding"))
+    heads = cut_lineage(heads.select("ns", "same", "head.created", "head.id", "embedding"))
+    copies = marked.join(heads.select("ns", "same", F.col("id").alias("of")), ["ns", "same"]).where("id <> of").select("ns", "id", "of", F.lit(1.0).alias("similarity"))
 
     def norm(c):
         return F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
+    own = heads.select("ns", "id", "created", "embedding", F.explode(keys("embedding")).alias("key"))
+    other = own.select("ns", "key", F.col("id").alias("of"), F.col("created").alias("of_created"), F.col("embedding").alias("of_embedding"))
+    older = F.struct("of_created", "of") < F.struct(F.col("created").alias("of_created"), F.col("id").alias("of"))
+    dot = F.aggregate(F.zip_with("embedding", "of_embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
     pairs = own.join(other, ["ns", "key"]).where(older).withColumn("similarity", F.try_divide(dot, norm("embedding") * norm("of_embedding"))).where(F.col("similarity") >= similarity)
-    return pairs.groupBy("ns", "id").agg(F.max_by("of", F.struct("similarity", -F.col("of"))).alias("of"), F.max("similarity").alias("similarity"))
+    best = pairs.groupBy("ns", "id").agg(F.max_by("of", F.struct("similarity", -F.col("of_created"), -F.col("of"))).alias("of"), F.max("similarity").alias("similarity"))
+    return best.unionByName(copies)
 
 
 def due(rows: DataFrame, now: int, min_retention: float | None = None, max_age: dict[str, int] | None = None, half_life: int = WEEK_US, use_weight: float = 0.1, links: DataFrame | None = None, per_pass: int = 1000) -> DataFrame:

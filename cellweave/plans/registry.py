@@ -575,7 +575,7 @@ def feed_commits(spark, d):
     return found.select("seqno", F.size("changes").cast("bigint").alias("n"), F.col("changes")[0]["change"].alias("change"))
 
 
-@query(f"SELECT event_id AS seqno, {U} AS row_key, event_type AS qualifier, epoch_us(ts) AS ts FROM events WHERE starts_with({U}, 'u:0000001')")
+@query(f"SELECT event_id AS seqno, {U} AS row_key, event_type AS qualifier, epoch_us(ts) AS ts FROM events WHERE event_id > 0 AND starts_with({U}, 'u:0000001')")
 def feed_prefix(spark, d):
     return shown(feed.between(encode.events(spark, d), 0, prefix=b"u:0000001"), "seqno")
 

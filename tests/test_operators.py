@@ -147,7 +147,9 @@ def brute_walk(edges, seeds, hops, per_node=None, hop_limit=None, most=10**9):
 
 
 @pytest.mark.parametrize("options", [{}, {"per_node": 2}, {"hop_limit": 3}, {"most": 9}, {"per_node": 3, "hop_limit": 4}])
-def test_traverse(spark, options):
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_traverse(spark, options, few, monkeypatch):
+    monkeypatch.setattr(graph, "FEW", few)
     r = random.Random(4)
     edges = {(b"n%02d" % r.randrange(40), b"n%02d" % min(39, int(r.expovariate(0.1)))) for _ in range(150)} | {(b"n00", b"n%02d" % i) for i in range(20)}
     seeds = [b"n00", b"n07", b"none"]
