@@ -33,6 +33,13 @@ def content_hash(text: str) -> str:
     return xxhash.xxh3_128_hexdigest(" ".join(text.split()).encode())
 
 
+def base32_id(raw: bytes) -> str:
+    """Lower-case base 32 without padding; ids sort as their bytes do."""
+    from base64 import b32hexencode
+
+    return b32hexencode(raw).decode().rstrip("=").lower()
+
+
 def squeezed(column: Column) -> Column:
     """Runs of white space as one blank, none at the ends."""
     return F.trim(F.regexp_replace(column, r"\s+", " "))

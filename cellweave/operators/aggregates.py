@@ -204,6 +204,12 @@ def set_ops(rows: DataFrame, base: DataFrame | None = None) -> DataFrame:
     return last.where("added").groupBy(*CELL).agg(F.array_sort(F.collect_set("element")).alias("members"))
 
 
+def sets(rows: DataFrame) -> DataFrame:
+    """members of set families from live inputs: operands of type set_add and set_remove in commit order."""
+    ops = rows.where(F.col("value_type").isin("set_add", "set_remove"))
+    return set_ops(ops.select(*CELL, F.col("value_i64").alias("element"), (F.col("value_type") == "set_add").alias("added"), "seqno", "op"))
+
+
 def set_algebra(a: Column, b: Column) -> dict[str, Column]:
     """The readouts of two member arrays."""
     both, union = F.array_intersect(a, b), F.array_union(a, b)

@@ -53,14 +53,16 @@ class Bounds:
 
 @dataclass(frozen=True)
 class ValueFilter:
-    """op: equals or prefix (bytes), or one of < <= = >= > (i64)."""
+    """op: equals or prefix (bytes), range (a pair of bytes, the second not included), or one of < <= = >= > (i64)."""
 
     op: str
-    operand: bytes | int
+    operand: bytes | int | tuple[bytes, bytes]
 
     def test(self) -> Column:
         if self.op == "equals":
             return F.col("value") == F.lit(self.operand)
+        if self.op == "range":
+            return Bounds(*self.operand).test(F.col("value"))
         if self.op == "prefix":
             return Bounds.prefix(self.operand).test(F.col("value"))
         value = F.when(F.col("value_type").isin("i64", "varint"), F.col("value_i64"))

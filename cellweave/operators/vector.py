@@ -62,6 +62,13 @@ def nearest_bits(selected: DataFrame, query: list[float], k: int) -> DataFrame:
     return found.orderBy("distance", "row", "qualifier").limit(k)
 
 
+def nearest_within(found: DataFrame, budget: int) -> DataFrame:
+    """The first of ``found`` (a nearest search's k rows at most) whose keys, and 16 bytes each, fit ``budget``."""
+    order = Window.orderBy("distance", "row", "qualifier").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spent = F.sum(F.length("row") + F.length("qualifier") + 16).over(order)
+    return found.withColumn("spent", spent).where(F.col("spent") <= budget).drop("spent")
+
+
 def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
     """``vectors``, ``queries``: id, vec. query, id, distance of each query's k nearest, by (distance, id).
 

@@ -12,11 +12,13 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import CELL_DELETE, CELLS, COLUMN, COLUMN_DELETE, FAMILY_DELETE, INTEGER_KINDS, MERGE, PUT, VALUES, Family, wrap_i64, wrapped_sum
 from .select import Bounds, Read, select
+from .vector import to_bfloat, to_half
 
 
 class Conflict(Exception):
@@ -43,9 +45,17 @@ class WriteBatch:
         return self
 
     def put(self, row: bytes, family: str, qualifier: bytes, value, ts: int | None = None) -> WriteBatch:
-        """bytes, int (i64), float (f64), or a list of floats (vector)."""
+        """bytes, int (i64), float (f64), or a list of numbers (vector, as the family's ``dim`` and ``element`` ask)."""
+        if isinstance(value, list):
+            value = fitted(value, self.families[family].params) if family in self.families else value
         return self._add(row, family, qualifier, PUT, ts, **typed(value))
 
+    def set_add(self, row: bytes, family: str, qualifier: bytes, element: int, ts: int | None = None) -> WriteBatch:
+        return self._add(row, family, qualifier, MERGE, ts, value_type="set_add", value_i64=_member(element))
+
+    def set_remove(self, row: bytes, family: str, qualifier: bytes, element: int, ts: int | None = None) -> WriteBatch:
+        return self._add(row, family, qualifier, MERGE, ts, value_type="set_remove", value_i64=_member(element))
+
     def aggregate(self, row: bytes, family: str, qualifier: bytes, value, ts: int | None = None) -> WriteBatch:
         own, what = self.families[family], typed(value)
         if own.aggregate and what["value_type"] not in TAKES.get(own.kind, {what["value_type"]}):
@@ -84,6 +94,35 @@ class WriteBatch:
         return spark.createDataFrame([tuple(x.get(n) for n in names) for x in self.rows(seqno, commit_ts)], CELLS)
 
 
+def _member(element: int) -> int:
+    """Sets hold unsigned 32-bit integers."""
+    if not 0 <= element < 1 << 32:
+        raise ValueError("a set's elements are 0 to 2^32 - 1")
+    return element
+
+
+#: Elements of a vector family, and what a component is rounded to or must be.
+ELEMENTS = ("f32", "f16", "bf16", "i8", "bit")
+MOST_DIMENSIONS = 4096
+
+
+def fitted(value: list, params: dict) -> list[float]:
+    """A vector as its family stores it. Wrong lengths, NaN and components out of range are refused."""
+    element, dim = params.get("element", "f32"), params.get("dim")
+    if element not in ELEMENTS or not 1 <= len(value) <= MOST_DIMENSIONS or (dim and len(value) != dim):
+        raise ValueError(f"a vector of {dim or '1 to 4096'} {element} components is asked for")
+    own = np.array(value, float)
+    if np.isnan(own).any() or (params.get("metric") == "cosine" and not own.any()):
+        raise ValueError("NaN, and zero vectors under cosine, are refused")
+    if element == "i8" and (own != np.rint(own)).any() | (np.abs(own + 0.5) > 127.5).any():
+        raise ValueError("components are integers from -128 to 127")
+    if element == "bit" and not np.isin(own, (0, 1)).all():
+        raise ValueError("components are 0 or 1")
+    if element in ("f16", "bf16"):
+        own = (to_half if element == "f16" else to_bfloat)(own)
+    return own.astype(np.float32).tolist()
+
+
 def typed(value) -> dict:
     if isinstance(value, bytes):
         return {"value_type": "bytes", "value": value}

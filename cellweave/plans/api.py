@@ -42,6 +42,19 @@ def page(selected: DataFrame, budget: int, after: tuple[bytes, int, bytes] | Non
     return Page(cells, True, at or after, head["size"] + (0 if same_row else len(head["row"])))
 
 
+def position_token(position: tuple[bytes, int, bytes]) -> bytes:
+    """A resume position as stable bytes."""
+    row, fam, qualifier = position
+    return len(row).to_bytes(4, "big") + row + fam.to_bytes(2, "big") + qualifier
+
+
+def token_position(token: bytes) -> tuple[bytes, int, bytes]:
+    n = 4 + int.from_bytes(token[:4], "big")
+    if len(token) < n + 2:
+        raise ValueError("not a position")
+    return token[4:n], int.from_bytes(token[n : n + 2], "big"), token[n + 2 :]
+
+
 class Table:
     def __init__(self, db: Database, name: str):
         self.db, self.name = db, name

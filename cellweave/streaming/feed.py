@@ -79,6 +79,20 @@ def sessions(events: DataFrame, ts: str, gap: str, late: str, keys: list[str]) -
     return events.withWatermark(ts, late).groupBy(F.session_window(ts, gap), *keys).agg(F.count("*").alias("n"))
 
 
+def merged(streams: list[DataFrame]) -> DataFrame:
+    """Several tables' changes as one stream; order holds inside each alone."""
+    out = streams[0]
+    for x in streams[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def token(query: StreamingQuery) -> dict | None:
+    """A running feed's progress: batch, rows, and the source's end position."""
+    last = query.lastProgress
+    return last and {"batch": last["batchId"], "rows": last["numInputRows"], "end": [x["endOffset"] for x in last["sources"]]}
+
+
 #: Memory events, weakest first.
 MEMORY_EVENTS = ("Updated", "Remembered", "Summarized", "Superseded", "Deleted")
 

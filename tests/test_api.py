@@ -133,3 +133,36 @@ def test_own_tokenizer(spark):
 
     index = text.Index.build(df, "id", "text", tokenizer=cut)
     assert {x["term"]: x["df"] for x in index.terms().collect()} == {"a": 1, "b": 2, "c": 1}
+
+
+def test_tokens_sets_vectors_and_ranges(spark):
+    import math
+
+    from cellweave.functions.hashing import base32_id
+    from cellweave.operators import aggregates, select, vector, write
+    from cellweave.operators.select import ValueFilter
+    from cellweave.plans.api import position_token, token_position
+
+    at = (b"r\x00\xff", 3, b"q")
+    assert token_position(position_token(at)) == at
+    with pytest.raises(ValueError):
+        token_position(b"\0\0")
+    assert sorted(base32_id(bytes([i, 255 - i])) for i in range(256)) == [base32_id(bytes([i, 255 - i])) for i in range(256)]
+    families = {"s": Family("s", "set"), "v": Family("v", params={"dim": 2, "element": "f16", "metric": "cosine"}), "f": Family("f")}
+    b = write.WriteBatch(families).set_add(b"r", "s", b"q", 5).set_add(b"r", "s", b"q", 6).set_remove(b"r", "s", b"q", 5).put(b"r", "v", b"", [1 / 3, 1.0]).put(b"r", "f", b"a", b"abc").put(b"r", "f", b"b", b"xyz")
+    log = b.frame(spark, 1, 9)
+    assert aggregates.sets(aggregates.inputs(log, [families["s"]])).first()["members"] == [6]
+    got = select.select(log, [families["v"]])
+    assert got.first()["value_vec"] == [0.333251953125, 1.0]
+    assert vector.nearest_within(vector.nearest(got, [1.0, 1.0], 5), 16).count() == 0
+    assert vector.nearest_within(vector.nearest(got, [1.0, 1.0], 5), 17).count() == 1
+    assert [bytes(x["qualifier"]) for x in select.select(log, [families["f"]], Read(value_filter=ValueFilter("range", (b"ab", b"b")))).collect()] == [b"a"]
+    for bad in ([1.0], [math.nan, 1.0], [0.0, 0.0]):
+        with pytest.raises(ValueError):
+            b.put(b"r", "v", b"", bad)
+    with pytest.raises(OverflowError):
+        b.put(b"r", "v", b"", [1e6, 1.0])
+    with pytest.raises(ValueError):
+        write.fitted([200.0], {"element": "i8"})
+    with pytest.raises(ValueError):
+        b.set_add(b"r", "s", b"q", -1)
