@@ -88,3 +88,18 @@ def test_nothing_else_imports_the_optional_part():
         if f"{os.sep}llm{os.sep}" not in path:
             with open(path) as f:
                 assert "llm" not in f.read(), path
+
+
+def test_workers_in_another_folder(sf, tmp_path):
+    """A driver started elsewhere, with the repository on its own path alone."""
+    code = f"""
+import sys
+sys.path.insert(0, {HERE!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").getOrCreate()
+import __spark_entry__ as e
+assert e.queries()["agg_hll"](spark, {sf!r}).count() > 0
+assert e.entry(spark).count() > 0
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    assert done.returncode == 0, done.stderr[-2000:]
