@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from cellweave.llm import linededup, mixing, packing, quality, simhash
 from cellweave.llm.common import documents, staged
+from cellweave.plans.ship import ship
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -34,10 +35,12 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return quality.keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     out = linededup.drop_lines(docs)
     lines, dropped = F.col(f"{linededup.OWN}n_lines"), F.col(f"{linededup.OWN}n_dropped")
     left = out.where((dropped == 0) | (dropped < lines))
@@ -45,14 +48,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return simhash.drop_copies(docs)
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return _counted(mixing.draw(docs))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return packing.pack_documents(docs)
 
 
