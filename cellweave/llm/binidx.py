@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete_file, filesystem, list_files, make_dir, shared_dir, slices, spread, texts
+from .common import delete_file, filesystem, list_files, make_dir, shared_dir, slices, small_batches, spread, texts
 from .encoders import byte_bpe, model_path
 
 MODEL = "byte_bpe_50k.json"
@@ -80,7 +80,8 @@ def write_ids(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
+    with small_batches(spark):
+        rows.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
     found = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").orderBy("pid").collect()  # one row per file
     kept = {x["name"] for x in found}
     for path in list_files(files):

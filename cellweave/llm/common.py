@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 OWN = "__cw_"
 #: Rows handled at once inside an Arrow batch, so that Python objects stay few.
 SLICE = 256
+#: Bytes of an Arrow batch that goes to a Python worker, about.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -43,11 +46,23 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/cellweave-{label}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, what jobs hand to Python comes in batches of BATCH_BYTES: a worker and its task each hold two or so."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and reread: lineage is cut, executors may go."""
     spark = df.sparkSession
     path = shared_dir(spark, label)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
