@@ -11,7 +11,7 @@ import gc
 from array import array
 
 #: Distinct chunks that one worker remembers (about 200 bytes each).
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 300_000
 #: Chunks longer than this are encoded but not remembered.
 CACHE_CHARS = 64
 #: A full memory is emptied after so many chunks, as a multiple of its size, had to be encoded beside it.
