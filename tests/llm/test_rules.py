@@ -1,5 +1,6 @@
 """Quality rules, line dedup and URL filter: SQL, brute force, planted cases, odd rows."""
 
+import random
 import re
 from collections import Counter
 
@@ -187,9 +188,11 @@ def test_held_out_accuracy(spark):
     """Trained on one half of the urls, the classifier finds the blocked ones of the other through words that aren't seeds."""
     spam = [(f"www.{a}{b}.example.com", f"/{c}/") for a in ("cheap", "easy", "super") for b in ("pills", "casino") for c in ("win", "bonus", "deal", "offer")]
     clean = [(f"www.{a}{b}.example.com", f"/{c}/") for a in ("north", "river", "stone") for b in ("school", "museum") for c in ("visit", "history", "music", "staff")]
-    words = "cheap easy super pills casino north river stone school museum".split()
+    for x in (spam, clean):
+        random.Random(1).shuffle(x)  # both halves hold every word
+    words = "cheap easy super pills casino north river stone school museum shop".split()
     segmenter = urls.Segmenter(dict.fromkeys(words, 50))
     model = urls.train(spark.createDataFrame((spam[::2] + clean[::2]) * 5, "host string, path string"), segmenter)
-    hidden = [(h.replace("pills", "school").replace("casino", "school"), p) for h, p in spam[1::2]]
+    hidden = [(h.replace("pills", "shop").replace("casino", "shop"), p) for h, p in spam[1::2]]
     found = sum(model.score(segmenter.tokens(h, p)) > 0 for h, p in hidden) + sum(model.score(segmenter.tokens(h, p)) <= 0 for h, p in clean[1::2])
     assert found / (len(hidden) + len(clean[1::2])) >= 0.9
