@@ -50,7 +50,7 @@ def nearest(selected: DataFrame, query: list[float], k: int, metric: str = "l2")
     """row, qualifier, distance of the k nearest, by (distance, row, qualifier); other shapes, NaN and zero norms are skipped."""
     fits = selected.where(F.size("value_vec") == len(query))
     found = fits.select("row", "qualifier", distance(F.col("value_vec"), query, metric).alias("distance"))
-    return found.where(~F.isnan("distance")).orderBy("distance", "row", "qualifier").limit(k)
+    return found.where(F.col("distance").isNotNull() & ~F.isnan("distance")).orderBy("distance", "row", "qualifier").limit(k)
 
 
 def nearest_bits(selected: DataFrame, query: list[float], k: int) -> DataFrame:
