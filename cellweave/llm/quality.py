@@ -4,8 +4,9 @@ One narrow pass measures each document and hashes its normalised lines (words
 joined by one blank, A-Z lower-cased). A line is frequent on a host when it
 stands in more distinct documents there than ``max(line_docs, line_share x the
 host's distinct documents)``; documents with equal texts are one, so copies of a
-document don't make its own lines frequent. Frequent lines are removed, and a
-document that loses more than ``1 - left`` of its words is depleted and rejected,
+document don't make its own lines frequent. Frequent lines are removed (``judge``
+counts their words, ``keep_good`` gives the texts without them), and a document
+that loses more than ``1 - left`` of its words is depleted and rejected,
 as is one that fails the base rules. Lines travel as hashes; counting combines
 before the shuffle, so a line or host that a third of all documents share costs
 no more than another.
@@ -19,6 +20,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -59,6 +61,18 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     return int(covered.sum())
 
 
+def line_hash(own: list[bytes]) -> int:
+    """Of a line's words, as a signed 64-bit number."""
+    h = xxhash.xxh64_intdigest(b" ".join(own).lower())
+    return h - ((h >> 63) << 64)
+
+
+def without_lines(text: str, gone: set[int]) -> str:
+    """``text`` without the lines of these hashes; lines without words stay."""
+    lines = text.encode().split(b"\n")
+    return b"\n".join(x for x in lines if not (own := x.split()) or line_hash(own) not in gone).decode()
+
+
 def measure(text: str) -> tuple:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and the lines' hashes and words."""
     raw = text.encode()
@@ -70,8 +84,7 @@ def measure(text: str) -> tuple:
         if own:
             doubles += line in seen
             seen.add(line)
-            h = xxhash.xxh64_intdigest(b" ".join(own).lower())
-            h -= (h >> 63) << 64
+            h = line_hash(own)
             lines[h] = lines.get(h, 0) + len(own)
     chars = len(text) - sum(map(text.count, BLANKS))
     return len(words), chars, sum(map(text.count, SYMBOLS)), doubles, repeated_words(words), list(lines), list(lines.values())
@@ -94,7 +107,7 @@ def _measured(rows: DataFrame) -> DataFrame:
 
 
 def _judged(df: DataFrame, id_col: str, text_col: str, host_col: str, line_docs: int, line_share: float, left: float) -> DataFrame:
-    """The staged measures with base_failed, removed_words, kept; a and b hash the text."""
+    """The staged measures with base_failed, removed_words, gone (the frequent lines' hashes; null: none), kept; a and b hash the text."""
     text = F.col(text_col).cast("string")
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit("b"), text).alias("b"), text.alias("text"))
     rows = staged(_measured(rows).withColumn("row", F.monotonically_increasing_id()), "measured")
@@ -106,7 +119,7 @@ def _judged(df: DataFrame, id_col: str, text_col: str, host_col: str, line_docs:
     often = counts.join(sizes, same).where(F.col("docs") > line_share * F.col("host_docs")).select(counts["host"].alias("at"), F.col("h").alias("line"))
     each = rows.select("row", "host", F.inline(F.arrays_zip("hashes", "sizes")))
     gone = each.join(often, (F.col("hashes") == F.col("line")) & F.col("host").eqNullSafe(F.col("at")))
-    gone = gone.groupBy("row").agg(F.sum("sizes").alias("removed_words"))
+    gone = gone.groupBy("row").agg(F.sum("sizes").alias("removed_words"), F.collect_list("hashes").alias("gone"))
     out = rows.join(gone, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
@@ -120,17 +133,25 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_co
 
 
 def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, left: float = LEFT) -> DataFrame:
-    """``df``'s rows that are kept, whole texts and all columns.
+    """``df``'s rows that are kept, with all columns; frequent lines are gone from their texts.
 
-    Rejected documents are few beside the kept ones, so they alone are looked up:
-    a document's verdict depends on its host and text alone.
+    Rejected documents and those with a frequent line alone are looked up: a
+    document's verdict and lines depend on its host and text alone. Only texts that
+    lose a line go through Python.
     """
-    a, b, host = f"{OWN}a", f"{OWN}b", f"{OWN}host"
+    a, b, host, kept, gone = (f"{OWN}{x}" for x in ("a", "b", "host", "kept", "gone"))
     text = F.col(text_col).cast("string")
-    bad = _judged(df, id_col, text_col, host_col, line_docs, line_share, left).where(~F.col("kept"))
-    bad = bad.select(F.col("a").alias(a), F.col("b").alias(b), F.xxhash64(F.lit("h"), "host").alias(host)).distinct()
+    found = _judged(df, id_col, text_col, host_col, line_docs, line_share, left).where(~F.col("kept") | F.col("gone").isNotNull())
+    found = found.groupBy(F.col("a").alias(a), F.col("b").alias(b), F.xxhash64(F.lit("h"), "host").alias(host)).agg(F.first("kept").alias(kept), F.first("gone").alias(gone))
     keyed = df.withColumns({a: F.xxhash64(text), b: F.xxhash64(F.lit("b"), text), host: F.xxhash64(F.lit("h"), F.col(host_col).cast("string"))})
-    return keyed.join(bad, [a, b, host], "left_anti").drop(a, b, host)
+
+    @F.pandas_udf("string")
+    def cut(text: pd.Series, gone: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else without_lines(x, set(y.tolist())) for x, y in zip(text, gone, strict=True)], dtype=object)
+
+    out = keyed.join(found, [a, b, host], "left").where(F.coalesce(kept, F.lit(True)))
+    less = cut(F.when(F.col(gone).isNotNull(), text), F.col(gone))
+    return out.withColumn(text_col, F.coalesce(less, text)).drop(a, b, host, kept, gone)
 
 
 #: The op3 query in DuckDB, on the rows of documents.

@@ -5,7 +5,7 @@ Parquet and reread as the next one's docs. All but the last return the columns o
 documents; where a stage changes a text, ``n_chars`` follows.
 
 1. quality_rules: documents that fail the base rules, or that frequent lines
-   deplete, go; the others stay whole.
+   deplete, go; the others lose their frequent lines.
 2. line_dedup: recurring line templates go from every document but the first that
    has one; documents of which nothing is left go.
 3. near_dedup: one document of each group of near copies stays.
@@ -36,7 +36,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return quality.keep_good(docs)
+    return _counted(quality.keep_good(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

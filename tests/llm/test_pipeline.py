@@ -52,3 +52,10 @@ def test_odd_documents(spark, odd, none):
             assert out.columns == docs.columns
             docs = out
         pipeline.STAGES[-1][1](spark, docs, "").collect()
+
+
+def test_quality_stage_removes_lines(spark):
+    own = [" ".join(f"d{i}w{j}" for j in range(60)) for i in range(20)]
+    docs = spark.createDataFrame([(i, f"{x}\nshared footer line", "en", "h", 0) for i, x in enumerate(own)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = dict(pipeline.STAGES)["quality_rules"](spark, docs, "")
+    assert sorted((x["doc_id"], x["text"], x["n_chars"]) for x in got.collect()) == [(i, x, len(x)) for i, x in enumerate(own)]

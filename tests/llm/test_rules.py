@@ -61,6 +61,16 @@ def test_frequent_lines_deplete(spark, none):
     assert quality.judge(none).collect() == [] == quality.keep_good(none).collect()
 
 
+def test_frequent_lines_go_from_kept_texts(spark):
+    banner = "Subscribe  to our NEWSLETTER today"
+    rows = [(i, f"{prose(i)}\n\n{banner if i % 2 else banner.lower()}\nÉ{prose(i + 100, 9)}", "h") for i in range(30)]
+    rows += [(i, f"{banner}\n{prose(i)}", "other") for i in range(30, 33)]  # rare on its host
+    rows += [(33, prose(33), "h"), (0, rows[0][1], "h")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4)
+    got = sorted((x["doc_id"], x["text"], x["source"]) for x in quality.keep_good(df).collect())
+    assert got == sorted((i, f"{prose(i)}\n\nÉ{prose(i + 100, 9)}" if i < 30 else t, h) for i, t, h in rows)
+
+
 def test_keep_good_passes_columns(odd):
     good = quality.keep_good(odd)
     assert good.columns == odd.columns
