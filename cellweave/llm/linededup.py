@@ -10,6 +10,10 @@ aren't all alike). Templates that ``docs`` distinct texts or
 more share are recurring and are dropped from every document but the first
 (smallest id) that has one.
 
+``passage`` (off in the op4 query, whose SQL has templates alone) drops long lines
+too: one of that many tokens or more that stands, blanks aside, word for word in
+two distinct texts goes from every document but the first that has it.
+
 Plan: lines are first reduced to hashes (no text). Only lines whose leaf enough
 documents share, found through a broadcast of at most BUCKETS leaf buckets, are
 read again, once for each distinct line; positions, supports and templates are
@@ -31,9 +35,12 @@ from .common import OWN, staged
 LEADING = 3
 DOCS = 20
 SIMILAR = 0.5
+#: Tokens of a passage, a line that two texts may not share, in the pipeline.
+PASSAGE = 50
 FIELD = "<*>"
 #: Leaf buckets that are broadcast at most.
 BUCKETS = 1 << 16
+HELD = ("doc_id", "a", "b", "content", "pos", "template")
 #: White space inside a line, beside the blank.
 BLANKS = "\t\x0b\f\r"
 
@@ -47,15 +54,18 @@ def _masked(line: Column) -> Column:
     return F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", FIELD)).otherwise(line)
 
 
-def _lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, a, b (hashes of id and text), content (of the text), pos, masked, raw (hash), leaf, sig of each line that has tokens."""
+def _lines(df: DataFrame, id_col: str, text_col: str, passage: int | None = None) -> DataFrame:
+    """doc_id, a, b (hashes of id and text), content (of the text), pos, masked, raw (hash), leaf, sig of each line that has tokens; with ``passage`` also same (hash; null: fewer tokens)."""
     text = F.col(text_col).cast("string")
     docs = df.select(
         F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text).alias("a"), F.xxhash64(F.lit("b"), text, id_col).alias("b"),
         F.xxhash64(text).alias("content"), F.posexplode(F.split(F.translate(text, BLANKS, " " * len(BLANKS)), "\n")).alias("pos", "line"),
     )
-    rows = docs.withColumn("line", F.trim("line")).where("line <> ''").withColumns({"masked": _masked(F.col("line")), "raw": F.xxhash64("line")}).drop("line")
+    rows = docs.withColumn("line", F.trim("line")).where("line <> ''").withColumns({"masked": _masked(F.col("line")), "raw": F.xxhash64("line")})
     tokens = F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit("")))
+    if passage is not None:
+        rows = rows.withColumn("same", F.when(tokens + 1 >= passage, F.xxhash64(F.lit("same"), F.regexp_replace("line", " {2,}", " "))))
+    rows = rows.drop("line")
     return rows.withColumns({"leaf": F.xxhash64(tokens, F.substring_index("masked", " ", LEADING)), "sig": F.xxhash64("masked")})
 
 
@@ -74,9 +84,9 @@ def _templates(lines: DataFrame, often: DataFrame, docs: int) -> DataFrame:
     return made.select("leaf", "sig", F.when(F.col("constant") >= SIMILAR, F.xxhash64("leaf", "total")).alias("template"))
 
 
-def recurring(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs: int = DOCS) -> tuple[DataFrame, DataFrame]:
+def recurring(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs: int = DOCS, passage: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The staged lines without texts, and which of them go: a, b, pos of each."""
-    lines = _lines(df, id_col, text_col)
+    lines = _lines(df, id_col, text_col, passage)
     short = staged(lines.drop("masked"), "leaves")
     often = short.select("leaf", "content").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= docs)
     often = staged(often.select("leaf"), "often")
@@ -85,17 +95,23 @@ def recurring(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", doc
     near = lines.join(buckets, bucket == F.col("bucket"), "left_semi")
     named = staged(_templates(near, often, docs), "templates")
     held = short.join(named, ["leaf", "sig"]).withColumn("template", F.coalesce("template", F.xxhash64("leaf", "raw")))
-    held = staged(held.drop("leaf", "sig", "raw"), "held")
+    gone = _later(staged(held.select(*HELD), "held"), docs)
+    if passage is not None:
+        gone = gone.union(_later(staged(short.where("same IS NOT NULL").withColumn("template", F.col("same")).select(*HELD), "passages"), 2))
+    return short, gone
+
+
+def _later(held: DataFrame, docs: int) -> DataFrame:
+    """``held``: HELD. a, b, pos of what ``docs`` texts or more share, but in the first document."""
     texts = held.groupBy("template", "content").agg(F.min(F.struct("doc_id", "a", "b")).alias("first"))
     shared = texts.groupBy("template").agg(F.count("*").alias("n"), F.min("first").alias("first")).where(F.col("n") >= docs)
-    gone = held.join(staged(shared.drop("n"), "shared"), "template").where(~((F.col("a") == F.col("first.a")) & (F.col("b") == F.col("first.b"))))
-    return short, gone.select("a", "b", "pos")
+    return held.join(staged(shared.drop("n"), "shared"), "template").where(~((F.col("a") == F.col("first.a")) & (F.col("b") == F.col("first.b")))).select("a", "b", "pos")
 
 
-def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs: int = DOCS) -> DataFrame:
+def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs: int = DOCS, passage: int | None = None) -> DataFrame:
     """``df`` with recurring lines dropped from ``text_col``, and n_lines, n_dropped (lines with tokens; of them dropped) as ``__cw_`` columns."""
     a, b = f"{OWN}a", f"{OWN}b"
-    short, gone = recurring(df, id_col, text_col, docs)
+    short, gone = recurring(df, id_col, text_col, docs, passage)
     lost = gone.groupBy("a", "b").agg(F.collect_set("pos").alias(f"{OWN}pos")).withColumnsRenamed({"a": a, "b": b})
     held = short.groupBy("a", "b").agg(F.countDistinct("pos").cast("long").alias(f"{OWN}n_lines")).withColumnsRenamed({"a": a, "b": b})
     text = F.col(text_col).cast("string")

@@ -6,8 +6,8 @@ documents; where a stage changes a text, ``n_chars`` follows.
 
 1. quality_rules: documents that fail the base rules, or that frequent lines
    deplete, go; the others lose their frequent lines.
-2. line_dedup: recurring line templates go from every document but the first that
-   has one; documents of which nothing is left go.
+2. line_dedup: recurring line templates, and passages (lines of 50 tokens or more)
+   that two texts share, go from every document but the first that has one; documents of which nothing is left go.
 3. near_dedup: one document of each group of near copies stays.
 4. mixing: sources come to their target weights; a document stands once for each
    whole pass, and once more with the words of picked blocks.
@@ -41,7 +41,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    out = linededup.drop_lines(docs)
+    out = linededup.drop_lines(docs, passage=linededup.PASSAGE)
     lines, dropped = F.col(f"{linededup.OWN}n_lines"), F.col(f"{linededup.OWN}n_dropped")
     left = out.where((dropped == 0) | (dropped < lines))
     return _counted(left.select(*[F.col(f"`{x}`") for x in docs.columns]))

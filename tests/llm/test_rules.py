@@ -108,6 +108,21 @@ def test_templates_are_dropped(spark):
         assert got[i]["text"] == before[i]
 
 
+def test_passages_are_dropped(spark):
+    """Long lines that few texts share go with ``passage``, from all but the first; without it they stay."""
+    long, under = prose("long", 50), prose("under", 49)
+    own = [prose(i, 9) for i in range(9)]
+    rows = [(i, f"{own[i]}\n{long if i % 2 else long.replace(' ', '  ')}\n{under}") for i in range(4)]
+    rows += [(i, f"{prose('twin', 60)}\n{own[4]}") for i in (4, 5)]  # equal texts are one
+    rows += [(6, f"{own[6]}\n{prose(6, 60)}1"), (7, f"{own[7]}\n{prose(6, 60)}2"), (None, f"{own[8]}\n{prose(7, 60)}"), (8, prose(7, 60))]  # digits tell lines apart
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {x["doc_id"]: x for x in linededup.drop_lines(df, passage=50).collect()}
+    want = dict(rows) | {i: f"{own[i]}\n{under}" for i in (1, 2, 3)} | {8: ""}
+    assert {k: x["text"] for k, x in got.items()} == want
+    assert [got[i]["__cw_n_dropped"] for i in (0, 1, 2, 3, 4, 8)] == [0, 1, 1, 1, 0, 1]
+    assert {x["doc_id"]: x["text"] for x in linededup.drop_lines(df).collect()} == dict(rows)
+
+
 def test_lines_of_odd_documents(spark, odd, none):
     out = linededup.drop_lines(odd)
     assert [c for c in out.columns if not c.startswith("__cw_n_")] == odd.columns
