@@ -1,13 +1,13 @@
 """URL filter: rules first, else naive Bayes over segmented host and path words.
 
-Unigrams are counted over the visible words of every page; the ``vocabulary``
-commonest make the language model (a size of the model, not of the data counted).
-Viterbi splits each label of a host, and each path part, into the likeliest
+Unigrams are counted over the visible words of every page, and none is left out:
+those that are a part of some host or path are looked up, whatever their rank, with
+the number of all. Viterbi splits each label of a host, and each path part, into the likeliest
 words. The classifier is multinomial naive Bayes over hashed words (FEATURES
 buckets, so its size is fixed), trained on every url: those with a seed word are
 the blocked class, the others the allowed one. Rules and parsing are column
-expressions; models reach workers by closure, bounded by ``vocabulary`` and
-FEATURES.
+expressions; models reach workers by closure: the looked-up words, and FEATURES
+weights.
 
 Defined cases: a null url, or one without "://", has empty host and path, fits
 no rule and is judged by the classes' shares alone (allowed); null html counts no
@@ -33,9 +33,6 @@ from .common import slices, staged, texts
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Words of hosts and paths that mark a training url as one to block.
 SEEDS = ("ads", "adult", "bet", "bets", "betting", "casino", "gambling", "pharmacy", "pills", "poker", "porn", "sex", "slots", "spam", "track", "tracker", "tracking", "viagra", "xxx")
-VOCABULARY = 100_000
-#: Parts of an octave in which word counts are compared.
-STEPS = 8
 LONGEST_WORD = 24
 FEATURES = 1 << 16
 #: Occurrences that a seed word has beside those counted, so that it can be split off.
@@ -44,6 +41,7 @@ SEED_COUNT = 50
 SMOOTHING = 0.1
 #: Labels and path parts whose words a worker remembers.
 CACHE = 1 << 16
+NAMES = re.compile(r"[^\W\d_]+")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -63,31 +61,43 @@ def rule_of(host: Column, path: Column, rules) -> tuple[Column, Column]:
     return name, verdict
 
 
-def unigrams(pages: DataFrame, html_col: str = "html", vocabulary: int = VOCABULARY) -> dict[str, int]:
-    """The commonest words of all pages' visible text, and their counts: all above a count at which they are ``vocabulary`` at most."""
+def parts(urls: DataFrame) -> DataFrame:
+    """``urls``: host, path. The distinct strings (part) that can be words of some name: up to LONGEST_WORD letters."""
+
+    def names(batches):
+        for batch in slices(batches):
+            found = {x for h, p in zip(texts(batch.column(0)), texts(batch.column(1)), strict=True) for x in NAMES.findall(h) + NAMES.findall(p.lower())}
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], ["name"])
+
+    def cut(batches):
+        for batch in slices(batches):
+            found = {x[i:j] for x in texts(batch.column(0)) for i in range(len(x)) for j in range(i + 1, min(len(x), i + LONGEST_WORD) + 1)}
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], ["part"])
+
+    return urls.mapInArrow(names, "name string").distinct().mapInArrow(cut, "part string").distinct()
+
+
+def unigrams(pages: DataFrame, urls: DataFrame, html_col: str = "html") -> tuple[dict[str, int], int]:
+    """Of the words of all pages' visible text: the counts of those that are a part of some name of ``urls`` (host, path), and the number of all."""
     shown = F.regexp_replace(F.lower(F.col(html_col).cast("string")), r"<(script|style)[^>]*>[\s\S]*?</\1>|<[^>]*>", " ")
     words = pages.select(F.explode(F.split(shown, r"[^\p{L}]+")).alias("word")).where(F.length("word").between(1, LONGEST_WORD))
-    counts = words.groupBy("word").agg(F.count("*").alias("n")).withColumn("step", F.floor(F.log2("n") * STEPS).cast("int"))
-    counts = staged(counts, "words")
-    left, least = vocabulary, 0
-    # A row for each eighth of an octave of counts.
-    for x in sorted(counts.groupBy("step").agg(F.count("*").alias("words")).collect(), reverse=True):
-        left -= x["words"]
-        if left < 0:
-            least = x["step"] + 1
-            break
-    return {x["word"]: x["n"] for x in counts.where(F.col("step") >= least).collect()}
+    counts = staged(words.groupBy("word").agg(F.count("*").alias("n")), "words")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    needed = counts.join(parts(urls), F.col("word") == F.col("part"), "left_semi")
+    return {x["word"]: x["n"] for x in needed.collect()}, total
 
 
 class Segmenter:
     """Splits names into the words of greatest product of unigram probabilities."""
 
-    def __init__(self, counts: dict[str, int], seeds=SEEDS):
-        self.made_of = (counts, seeds)
+    def __init__(self, counts: dict[str, int], seeds=SEEDS, total: int | None = None):
+        """``total``: of all words' counts, where ``counts`` are some words'."""
+        self.made_of = (counts, seeds, total)
+        more = 0 if total is None else total - sum(counts.values())
         counts = dict(counts)
         for x in seeds:
             counts[x] = counts.get(x, 0) + SEED_COUNT
-        total = sum(counts.values()) + 1
+        total = sum(counts.values()) + more + 1
         self.cost = {w: log(total / n) for w, n in counts.items()}
         self.unknown = log(total)
         self.words = lru_cache(CACHE)(self._words)
@@ -113,8 +123,8 @@ class Segmenter:
 
     def tokens(self, host: str, path: str) -> list[str]:
         """h: and p: words; digits and signs only separate."""
-        out = [f"h:{w}" for x in re.findall(r"[^\W\d_]+", host) for w in self.words(x)]
-        return out + [f"p:{w}" for x in re.findall(r"[^\W\d_]+", path.lower()) for w in self.words(x)]
+        out = [f"h:{w}" for x in NAMES.findall(host) for w in self.words(x)]
+        return out + [f"p:{w}" for x in NAMES.findall(path.lower()) for w in self.words(x)]
 
 
 def _feature(token: str) -> int:
@@ -158,11 +168,12 @@ def train(urls: DataFrame, segmenter: Segmenter, seeds=SEEDS) -> Bayes:
     return Bayes({(x["label"], x["feature"]): x["n"] for x in rows if x["feature"] >= 0}, {x["label"]: x["n"] for x in rows if x["feature"] < 0})
 
 
-def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES, seeds=SEEDS, vocabulary: int = VOCABULARY) -> DataFrame:
+def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES, seeds=SEEDS) -> DataFrame:
     """Per row page_id, host, path, rule, verdict, score (the classifier's)."""
     host, path = host_path(F.col(url_col).cast("string"))
     urls = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    segmenter = Segmenter(unigrams(pages, html_col, vocabulary), seeds)
+    counts, total = unigrams(pages, urls.select("host", "path"), html_col)
+    segmenter = Segmenter(counts, seeds, total)
     bayes = train(urls.select("host", "path"), segmenter, seeds)
 
     def run(batches):

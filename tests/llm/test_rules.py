@@ -194,6 +194,24 @@ def test_query_covers_all_pages(spark, sf):
     assert all(x["verdict"] == "allow" for x in rows if x["rule"] is None and re.search(r"\bth", x["host"]))
 
 
+def test_rare_words_count(spark):
+    """Words seen once split names however many other words there are: the scores are those of a model of all words."""
+    rare = [a + b + c + d for a in "bcdfghjklmnpqrstvwxz" for b in "aeiouy" for c in "bcdfghjklmnpqrstvwxz" for d in ("an", "el", "il", "on", "ur", "ash", "esk", "imp", "orn", "ulf")]
+    rare = [f"{x}{y}" for x in rare for y in ("qa", "qe", "qi", "qo", "qu")]
+    rows = [(0, "http://quixoticzephyr.example.com/a/", " ".join(rare)), (1, "http://zephyr.example.com/Quixotic/", "quixotic zephyr example com example com a")]
+    rows += [(2 + i, "http://casinoquixotic.example.com/", None) for i in range(3)]
+    assert len(set(rare)) > 100_000
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(2)
+    every = urls.Segmenter(Counter(" ".join(x[2] or "" for x in rows).split()))
+    assert every.words("quixoticzephyr") == ("quixotic", "zephyr")
+    host, path = urls.host_path(F.col("url"))
+    own = df.select(host.alias("host"), path.alias("path"))
+    counts, total = urls.unigrams(df, own)
+    assert counts["quixotic"] == counts["zephyr"] == 1 and total == len(rare) + 7 and len(counts) < 100
+    model = urls.train(own, every)
+    assert all(x["score"] == pytest.approx(model.score(every.tokens(x["host"], x["path"])), abs=1e-9) for x in urls.judge(df).collect())
+
+
 def test_bayes_counts(spark):
     """The distributed counts are those of plain Python."""
     segmenter = urls.Segmenter({"cheap": 9, "pills": 9, "good": 9, "news": 9})
