@@ -99,7 +99,7 @@ def parse(query: str) -> list[Term | Phrase | Fuzzy]:
 
 
 def tokenize(df: DataFrame, id_col: str, text_col: str, stop_words: bool = False, form: str | None = "NFC", tokenizer=None) -> DataFrame:
-    """``tokenizer``: a function from a text to (term, position, start, end) in place of the built-in one. id, term, position, start, end (bytes): terms of over 64 bytes and those past the first 10,000 are left out. Null text has none."""
+    """``tokenizer``: a function from a text to (term, position, start, end) in place of the built-in one. id, term, position, start, end (bytes): terms of over 64 bytes are left out; a text of over ``MAX_TERMS`` distinct others is refused. Null text has none."""
     kind = df.schema[id_col].dataType.simpleString()
     own = tokenizer or (lambda text: words(text, stop_words, form))
 
@@ -107,13 +107,17 @@ def tokenize(df: DataFrame, id_col: str, text_col: str, stop_words: bool = False
         for batch in batches:
             ids, terms, positions, starts, ends = [], [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for term, p, a, b in own(text or "")[:MAX_TERMS]:
+                distinct = set()
+                for term, p, a, b in own(text or ""):
                     if len(term.encode()) <= MAX_TERM_BYTES:
+                        distinct.add(term)
                         ids.append(key)
                         terms.append(term)
                         positions.append(p)
                         starts.append(a)
                         ends.append(b)
+                if len(distinct) > MAX_TERMS:
+                    raise ValueError(f"a document has {len(distinct)} distinct terms, above max_terms {MAX_TERMS}")
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(terms, pa.string()), *[pa.array(x, pa.int32()) for x in (positions, starts, ends)]], ["id", "term", "position", "start", "end"])
 
     return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, term string, position int, start int, end int")

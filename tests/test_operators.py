@@ -419,3 +419,15 @@ def test_pages_and_budgets(spark):
         at = full[-1]
         seen += [k for k in dict.fromkeys(full)]
     assert set(seen) == {(r, 1, q) for r, q, _ in everything}
+
+
+def test_long_texts_are_tokenized_whole(spark):
+    """12,000 words keep their last one; over 10,000 distinct terms are refused, as in the reference."""
+    long = "again and again " * 4000 + "final"
+    df = spark.createDataFrame([(1, long), (2, "final word")], "id bigint, text string")
+    assert [(x["id"], x["position"]) for x in text.tokenize(df, "id", "text").where("term = 'final'").orderBy("id").collect()] == [(1, 12_000), (2, 0)]
+    assert {x["id"]: x["len"] for x in text.Index.build(df, "id", "text").docs.collect()} == {1: 12_001, 2: 2}
+    many = spark.createDataFrame([(1, " ".join(f"t{i}" for i in range(10_001)))], "id bigint, text string")
+    with pytest.raises(Exception, match="10001 distinct terms, above max_terms 10000"):
+        text.tokenize(many, "id", "text").collect()
+    assert text.tokenize(many.selectExpr("id", "substring(text, 1, length(text) - 7) AS text"), "id", "text").count() == 10_000
