@@ -8,13 +8,15 @@ hands on only its k best for each query.
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 METRICS = ("l2", "ip", "cosine", "hamming")
-#: Queries of a batch search at most: their vectors travel with each task.
+#: Queries of one block of a batch search: their vectors travel with each task.
 MOST_QUERIES = 65_536
 
 
@@ -72,12 +74,18 @@ def nearest_within(found: DataFrame, budget: int) -> DataFrame:
 def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
     """``vectors``, ``queries``: id, vec. query, id, distance of each query's k nearest, by (distance, id).
 
-    A stated, bounded query set against all rows: no pairs are made beyond the k
-    best of each partition.
+    Queries go against all rows in blocks of MOST_QUERIES: no pairs are made beyond
+    the k best of each partition.
     """
-    listed = queries.orderBy("id").limit(MOST_QUERIES + 1).collect()
-    if len(listed) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries: search in blocks")
+    rest = queries.orderBy("id").toLocalIterator()
+    found = _nearest_block(vectors, list(islice(rest, MOST_QUERIES)), k, metric)
+    while block := list(islice(rest, MOST_QUERIES)):
+        found = found.union(_nearest_block(vectors, block, k, metric))
+    order = Window.partitionBy("query").orderBy("distance", "id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _nearest_block(vectors: DataFrame, listed: list, k: int, metric: str) -> DataFrame:
     names = [x["id"] for x in listed]
     block = np.array([x["vec"] for x in listed], float).reshape(len(listed), -1)
 
@@ -100,9 +108,7 @@ def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "
             ok = ~np.isnan(best[0].ravel())
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)[ok], pa.int64()), pa.array(best[1].ravel()[ok], pa.int64()), pa.array(best[0].ravel()[ok])], ["query", "id", "distance"])
 
-    found = vectors.select(F.col("id").cast("bigint"), "vec").mapInArrow(run, "query bigint, id bigint, distance double")
-    order = Window.partitionBy("query").orderBy("distance", "id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return vectors.select(F.col("id").cast("bigint"), "vec").mapInArrow(run, "query bigint, id bigint, distance double")
 
 
 def _distances(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndarray:

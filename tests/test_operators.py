@@ -431,3 +431,11 @@ def test_long_texts_are_tokenized_whole(spark):
     with pytest.raises(Exception, match="10001 distinct terms, above max_terms 10000"):
         text.tokenize(many, "id", "text").collect()
     assert text.tokenize(many.selectExpr("id", "substring(text, 1, length(text) - 7) AS text"), "id", "text").count() == 10_000
+
+
+def test_nearest_many_in_blocks(spark, monkeypatch):
+    rows = [(i, [float(i * i % 37), float(i)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id bigint, vec array<double>").repartition(3)
+    whole = sorted(map(tuple, vector.nearest_many(df, df, 3).collect()))
+    monkeypatch.setattr(vector, "MOST_QUERIES", 15)
+    assert sorted(map(tuple, vector.nearest_many(df, df, 3).collect())) == whole and len(whole) == 120
