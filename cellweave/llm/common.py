@@ -15,7 +15,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +26,14 @@ from pyspark.sql import functions as F
 OWN = "__cw_"
 #: Rows handled at once inside an Arrow batch, so that Python objects stay few.
 SLICE = 256
+#: Bytes of text in such a slice at most, but for a longer text.
+SLICE_BYTES = 1 << 20
 #: Bytes of an Arrow batch that goes to a Python worker, about.
 BATCH_BYTES = 8 << 20
+#: Bytes of files that one task reads back, about.
+READ_TASK = 256 << 20
+#: Fewer than so many keys can each have more than one in HOT rows.
+HOT = 1000
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -96,10 +104,19 @@ def list_files(uri: str) -> list[str]:
     return [f"{uri}/{x.base_name}" for x in found if x.type == pafs.FileType.File]
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cuts of at most ``rows`` rows, and ``most`` bytes of text where a cut has two rows or more."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        sizes = np.zeros(batch.num_rows, np.int64)
+        for x in batch.columns:
+            if pa.types.is_string(x.type) or pa.types.is_binary(x.type) or pa.types.is_large_string(x.type) or pa.types.is_large_binary(x.type):
+                sizes += pc.binary_length(x).fill_null(0).to_numpy()
+        ends, at = np.cumsum(sizes), 0
+        while at < batch.num_rows:
+            full = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right"))
+            to = min(batch.num_rows, at + rows, max(at + 1, full))
+            yield batch.slice(at, to - at)
+            at = to
 
 
 def texts(column: pa.Array) -> list[str]:
@@ -112,9 +129,25 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def spread(df: DataFrame, rows: int) -> DataFrame:
-    """A short driver-made table, dealt to as many tasks as it has rows (4096 at most)."""
-    return df.repartition(max(1, min(rows, 4096)))
+def spread(df: DataFrame, tasks: int) -> DataFrame:
+    """A short driver-made table, dealt to so many tasks (4096 at most)."""
+    return df.repartition(max(1, min(tasks, 4096)))
+
+
+def readers(spark: SparkSession, files: int, n_bytes: int) -> int:
+    """Tasks that read so many files: three for each core, more where that leaves a task over READ_TASK bytes, one for each file at most."""
+    return min(files, max(3 * spark.sparkContext.defaultParallelism, n_bytes // READ_TASK))
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` with the row of ``table`` that has their ``key``; ``table``: unique keys, and n, how many of ``total`` rows have each.
+
+    Keys of more than one in HOT rows, so fewer than HOT keys, are broadcast: a key
+    with a third of all rows stays where it lies. The others meet by a shuffle.
+    """
+    hot = F.broadcast(table.where(F.col("n") * HOT > total))
+    others = rows.join(hot.select(key), key, "left_anti").join(table.where(F.col("n") * HOT <= total), key)
+    return rows.join(hot, key).unionByName(others)
 
 
 def text_column(name: str = "text"):

@@ -26,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, staged, texts
+from .common import BATCH_BYTES, slices, staged
 from .encoders import byte_bpe
 
 MODEL = "byte_bpe_50k.json"
 END_ID = 0
 CAPACITY = 2048
+#: Documents encoded at once.
+BATCH_ROWS = 1 << 16
 #: Pieces packed by one task.
 PART_ROWS = 16_384
 #: Exchanges at most; each deals the open bins over an eighth as many partitions.
@@ -47,19 +49,19 @@ def cut_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
     """The pieces of each document; ``with_ids`` adds their ids as an array."""
 
     def run(batches):
-        encoder, end = byte_bpe(model), np.array([end_id], "<u4").tobytes()
-        for batch in slices(batches):
+        encoder = byte_bpe(model)
+        for batch in slices(batches, BATCH_ROWS, BATCH_BYTES):
             out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids)}
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts(batch.column(1))), strict=True):
-                ids += end
-                n = len(ids) // 4
+            ids, ends = encoder.encode_ended(batch.column(1), end_id)
+            for doc, begin, end in zip(batch.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                n = end - begin
                 at, cut = 0, n - (n - 1) // capacity * capacity
                 for piece in range((n - 1) // capacity + 1):
-                    own = ids[4 * at : 4 * cut]
+                    own = ids[begin + at : begin + cut]
                     for k, v in zip(out, (doc, piece, at, cut - at, zlib.crc32(own)), strict=False):
                         out[k].append(v)
                     if with_ids:
-                        out["ids"].append(np.frombuffer(own, "<u4"))
+                        out["ids"].append(own)
                     at, cut = cut, cut + capacity
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * with_ids]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out.values(), kinds, strict=True)], list(out))
