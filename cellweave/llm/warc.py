@@ -3,11 +3,11 @@
 Writing: a record is a response, or a revisit of the record with the same payload
 and the smallest id. Payload digests are grouped without payloads, and only the
 revisits found come back as small marker rows; these and the records are
-range-partitioned and sorted by id together, so payloads move once and a marker
-stands just before its record. Each task rolls to a new file when the compressed
+range-partitioned and sorted by id and digest together, so payloads move once, are
+no sort keys, and a marker stands just before its record. Each task rolls to a new file when the compressed
 size passes a limit, computes every header and digest anew, and writes under a
 temporary name of its attempt. The manifest rows of the attempts that Spark
-commits name the files that count; these are renamed to their final names by
+takes (a row per file, on the driver) name the files that count; these are renamed to their final names by
 shard and roll, and the final manifest is written last. What other attempts left
 is deleted. The same rows over the same shards give the same bytes.
 
@@ -17,7 +17,8 @@ digests, and returns what the headers and the payload say.
 Defined cases: a null payload is empty; a null url is an empty target; records
 with null ids are responses that nothing revisits, in the first shard; of rows
 with equal id and payload the first is the response, and the rest revisit it; an
-empty table gives no files and no rows; other columns are ignored.
+empty table gives no files and no rows; other columns are ignored. A task holds a
+batch of about eight MB, or one record, however long it is.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, list_files, make_dir, shared_dir, slices, spread, staged
+from .common import filesystem, join_hot, list_files, make_dir, readers, shared_dir, slices, small_batches, spread
 
 #: Compressed bytes after which a task starts its next file.
 ROLL_BYTES = 64 << 20
@@ -43,6 +44,8 @@ SOFTWARE = "cellweave"
 LEAST_BYTES = 0
 MANIFEST = "shard int, roll int, name string, records long, bytes long, sha256 string"
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, file string"
+#: Files that one task renames, about.
+RENAMES = 64
 #: Compressed bytes read, and records returned, at once.
 READ_BYTES = 1 << 20
 READ_ROWS = 256
@@ -124,34 +127,37 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     make_dir(final)
     payload = F.coalesce(F.col(payload_col).cast("string").cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), payload.alias("payload"))
-    digests = rows.where(F.col("page_id").isNotNull() & (F.length("payload") >= least_bytes)).select("page_id", F.sha1("payload").alias("digest"))
+    rows = rows.withColumn("digest", F.sha1("payload"))
+    digests = rows.where(F.col("page_id").isNotNull() & (F.length("payload") >= least_bytes)).select("page_id", "digest")
     firsts = digests.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
-    markers = digests.join(firsts, "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
-    marked = markers.select("page_id", F.lit(0).alias("kind"), F.col("digest"), F.col("refers_to"), F.lit("").alias("url"), F.lit(b"").alias("payload"))
-    both = rows.select("page_id", F.lit(1).alias("kind"), F.lit("").alias("digest"), F.lit(None).cast("long").alias("refers_to"), "url", "payload").unionByName(marked)
-    both = both.repartitionByRange("page_id").sortWithinPartitions("page_id", "kind", "digest", "payload", "url")
+    markers = join_hot(digests, firsts, "digest", pages.count()).where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
+    marked = markers.select("page_id", "digest", F.lit(0).alias("kind"), "refers_to", F.lit("").alias("url"), F.lit(b"").alias("payload"))
+    both = rows.select("page_id", "digest", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("refers_to"), "url", "payload").unionByName(marked)
+    both = both.repartitionByRange("page_id", "digest").sortWithinPartitions("page_id", "digest", "kind", "url")
 
     def run(batches):
         from pyspark import TaskContext
 
         out = _Roller(temporary, TaskContext.get().partitionId(), roll_bytes)
-        page, revisits, seen = None, {}, {}
+        own, refers_to, nth = None, None, 0
         for batch in slices(batches):
             for x in batch.to_pylist():
-                if x["page_id"] != page:
-                    page, revisits, seen = x["page_id"], {}, {}
+                page = x["page_id"]
+                if (page, x["digest"]) != own:
+                    own, refers_to, nth = (page, x["digest"]), None, 0
                 if not x["kind"]:
-                    revisits[x["digest"]] = x["refers_to"]
+                    refers_to = x["refers_to"]
                     continue
-                digest = hashlib.sha1(x["payload"]).hexdigest()
-                nth = seen[digest] = seen.get(digest, -1) + 1
                 again = page if nth and page is not None and len(x["payload"]) >= least_bytes else None
-                out.add(record(page, x["url"], x["payload"], revisits.get(digest, again), nth))
+                out.add(record(page, x["url"], x["payload"], again if refers_to is None else refers_to, nth))
+                nth += 1
         out.close()
         if out.made:
             yield pa.RecordBatch.from_pylist(out.made, pa.schema([("shard", pa.int32()), ("roll", pa.int32()), ("name", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())]))
 
-    committed = staged(both.mapInArrow(run, MANIFEST), "warc-manifest")
+    with small_batches(spark):
+        made = both.mapInArrow(run, MANIFEST).collect()  # one row per file, of the attempts that Spark takes
+    committed = spread(spark.createDataFrame(made, MANIFEST), len(made) // RENAMES)
 
     def rename(batches):
         fs, top = filesystem(folder)
@@ -228,6 +234,7 @@ def records(source):
 
 def read(spark: SparkSession, folder: str, manifest: DataFrame, n_files: int) -> DataFrame:
     """Per record of a page page_id, payload_bytes, payload_digest, record_type, refers_to, file."""
+    n_bytes = manifest.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
 
     def run(batches):
         fs, top = filesystem(f"{folder}/warc")
@@ -251,7 +258,7 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame, n_files: int) ->
                             found = []
                 yield pa.RecordBatch.from_pylist(found, kinds)
 
-    return spread(manifest, n_files).mapInArrow(run, READ)
+    return spread(manifest, readers(spark, n_files, n_bytes)).mapInArrow(run, READ)
 
 
 def archive(pages: DataFrame) -> DataFrame:
