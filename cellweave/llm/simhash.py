@@ -23,10 +23,10 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, raw_texts, slices, staged
+from .common import OWN, join_hot, raw_texts, slices, staged
 from .components import components
 
 SEED = 42
@@ -98,30 +98,39 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 
 def _classes(rows: DataFrame, order) -> DataFrame:
-    """``rows``: staged, with fp. Per fp its class, and the class's smallest ``order`` as ``first``."""
-    fps = staged(rows.groupBy("fp").agg(F.min(order).alias("own")), "fps")
+    """``rows``: staged, with fp. Per fp n (its rows), and its class's smallest ``order`` as ``first``."""
+    fps = staged(rows.groupBy("fp").agg(F.min(order).alias("own"), F.count("*").alias("n")), "fps")
     roots = components(links(fps.select("fp")))
-    named = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "own", F.coalesce("root", "fp").alias("root"))
+    named = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "own", "n", F.coalesce("root", "fp").alias("root"))
     named = staged(named, "classes")
     first = named.groupBy("root").agg(F.min("own").alias("first"))
-    return named.join(first, "root").select("fp", "first")
+    return named.join(first, "root").select("fp", "n", "first")
 
 
 def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row doc_id, fingerprint (16 hex digits), component_id (smallest id of the class)."""
     rows = fingerprints(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
     rows = staged(rows, "fingerprints")
-    classes = _classes(rows, F.col("doc_id"))
-    return rows.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first").alias("component_id"))
+    named = join_hot(rows, _classes(rows, F.col("doc_id")), "fp", rows.count())
+    return named.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first").alias("component_id"))
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df``'s rows, one of each class: the one with the smallest id, then the smallest hash of id and text."""
-    a, b = f"{OWN}a", f"{OWN}b"
-    keyed = df.withColumns({a: F.xxhash64(id_col, text_col), b: F.xxhash64(F.lit("b"), text_col, id_col)})
-    rows = staged(fingerprints(keyed.select(F.col(id_col).cast("long").alias("doc_id"), F.col(a).alias("a"), F.col(b).alias("b"), F.col(text_col).cast("string").alias("text"))), "fingerprints")
+    """``df``'s rows, one of each class: the one with the smallest id, then the smallest hash of id and text.
+
+    Rows that go are found without texts; texts then meet the hashes of those alone,
+    hashed and not sorted. Of rows with equal id and text, one stays.
+    """
+    a, b, lost = f"{OWN}a", f"{OWN}b", f"{OWN}lost"
+    text = F.col(text_col).cast("string")
+    keyed = df.withColumns({a: F.xxhash64(id_col, text), b: F.xxhash64(F.lit("b"), text, id_col)})
+    rows = staged(fingerprints(keyed.select(F.col(id_col).cast("long").alias("doc_id"), F.col(a).alias("a"), F.col(b).alias("b"), text.alias("text"))), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "a", "b")
-    kept = _classes(rows, order).select(F.col("first.a").alias(a), F.col("first.b").alias(b)).distinct()
-    one = Window.partitionBy(a, b).orderBy(id_col)
-    left = keyed.join(kept, [a, b], "left_semi").withColumn(f"{OWN}n", F.row_number().over(one))
-    return left.where(F.col(f"{OWN}n") == 1).select(*[F.col(f"`{x}`") for x in df.columns])
+    named = join_hot(rows, _classes(rows, order), "fp", rows.count())
+    stays = (F.col("a") == F.col("first.a")) & (F.col("b") == F.col("first.b"))
+    told = named.groupBy(F.col("a").alias(a), F.col("b").alias(b)).agg((~F.first(stays)).alias(lost), F.count("*").alias("n")).where(F.col(lost) | (F.col("n") > 1))
+    told = staged(told.select(a, b, lost), "lost")
+    met = keyed.join(told.hint("shuffle_hash"), [a, b], "left")
+    names = [F.col(f"`{x}`") for x in df.columns]
+    again = met.where(~F.col(lost)).dropDuplicates([a, b])
+    return met.where(F.col(lost).isNull()).select(*names).unionByName(again.select(*names))
