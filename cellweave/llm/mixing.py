@@ -10,8 +10,9 @@ are blocks that a seeded permutation picks. What integers leave between quota
 and target, less than a block, is taken from or added to the source's largest
 shard, so a source's words come to its target exactly.
 
-The driver sees one number per source and shard (SHARDS + sources of them, and of
-sources MOST_SOURCES at most), never documents. Reruns give the same mix: order and choice hang on seed, id and text.
+The driver sees one number per source and shard (SHARDS + sources of them, more than
+that only as one for SHARD_MOST words; of sources MOST_SOURCES at most), never
+documents. Reruns give the same mix: order and choice hang on seed, id and text.
 
 Defined cases: null or empty texts have size 0 and are never taken; a null source
 is the last source; repeated rows are taken each by itself; other columns are
@@ -38,9 +39,10 @@ CAP = 2
 SEED = 17
 #: Sources at most: their list is the mix's configuration, held by the driver and broadcast.
 MOST_SOURCES = 100_000
-#: Shards of the whole corpus, about; and words that a shard has at least.
+#: Shards of the whole corpus, about; and words that a shard has at least, and at most (a larger corpus has more shards).
 SHARDS = 2048
 SHARD_WORDS = 8192
+SHARD_MOST = 1 << 24
 #: Words of a block at most; small corpora get smaller ones, so that quotas stay fine.
 BLOCK = 1024
 BLOCKS_PER_SOURCE = 256
@@ -108,9 +110,9 @@ def _own(name: str):
 
 
 class Plan(NamedTuple):
-    #: name, source_size, target, parts: one row per source.
+    #: nth, name, source_size, target, parts: one row per source.
     sources: DataFrame
-    #: at, part, total, words: one row per shard, SHARDS + sources at most.
+    #: nth (its source's), shard, total, words: one row per shard.
     shards: DataFrame
     #: Words of a block.
     block: int
@@ -130,36 +132,36 @@ def plan(rows: DataFrame, weights=WEIGHTS, percent: int = PERCENT, cap: int = CA
         raise ValueError(f"more than {MOST_SOURCES} sources: group them first")
     sizes = sorted(((x["source"], x["n"]) for x in sizes), key=lambda x: (x[0] is None, x[0] or ""))
     goal = targets([n for _, n in sizes], weights, percent, cap)
-    part = max(SHARD_WORDS, -(-sum(n for _, n in sizes) // shards))
-    table = [(s, n, t, max(1, -(-n // part))) for (s, n), t in zip(sizes, goal, strict=True)]
-    sources = spark.createDataFrame(table, "name string, source_size long, target double, parts int")
-    # At most shards + sources rows.
-    held = _sharded(rows, sources, seed).groupBy(_own("source").alias("source"), _own("shard").alias("shard")).agg(F.sum(_own("size")).alias("n")).collect()
+    part = min(SHARD_MOST, max(SHARD_WORDS, -(-sum(n for _, n in sizes) // shards)))
+    table = [(k, s, n, t, max(1, -(-n // part))) for k, ((s, n), t) in enumerate(zip(sizes, goal, strict=True))]
+    sources = spark.createDataFrame(table, "nth int, name string, source_size long, target double, parts int")
+    # Two numbers a shard: shards + sources rows at most, and one more for each SHARD_MOST words.
+    held = _sharded(rows, sources, seed).groupBy(_own("nth").alias("nth"), _own("shard").alias("shard")).agg(F.sum(_own("size")).alias("n")).collect()
     by: dict = {}
     for x in sorted(held, key=lambda x: x["shard"]):
-        by.setdefault(x["source"], []).append((x["shard"], x["n"]))
+        by.setdefault(x["nth"], []).append((x["shard"], x["n"]))
     whole = [round(t) for t in goal]
     block = max(1, min(BLOCK, sum(whole) // max(1, BLOCKS_PER_SOURCE * len(sizes))))
     out = []
-    for (source, *_), quota, goal_words in zip(table, sainte_lague(whole, -(-sum(whole) // block)), whole, strict=True):
-        own = by.get(source, [])
+    for k, (quota, goal_words) in enumerate(zip(sainte_lague(whole, -(-sum(whole) // block)), whole, strict=True)):
+        own = by.get(k, [])
         each = sainte_lague([n for _, n in own], quota, [cap * n // block for _, n in own])
         given = [q * block for q in each]
         rest = goal_words - sum(given)
         for i in sorted(range(len(own)), key=lambda i: -own[i][1]):
             step = max(-given[i], min(cap * own[i][1] - given[i], rest))
             given[i], rest = given[i] + step, rest - step
-        out += [(source, shard, n, w) for (shard, n), w in zip(own, given, strict=True)]
-    return Plan(sources, spark.createDataFrame(out, "at string, part int, total long, words long"), block)
+        out += [(k, shard, n, w) for (shard, n), w in zip(own, given, strict=True)]
+    return Plan(sources, spark.createDataFrame(out, "nth int, shard int, total long, words long"), block)
 
 
 def _laid_out(rows: DataFrame, to: Plan, seed: int) -> DataFrame:
     """``rows`` with their shard's figures, their place in its stream (begin), whole passes (full) and picked spans (from, to: words)."""
     shards = to.shards.withColumnsRenamed({x: OWN + x for x in to.shards.columns})
-    same = _own("source").eqNullSafe(_own("at")) & (_own("shard") == _own("part"))
-    rows = _sharded(rows, to.sources, seed).join(F.broadcast(shards), same)
+    # Both sides are dealt as the window below asks, where the shards are too many to be sent whole.
+    rows = _sharded(rows, to.sources, seed).join(shards, [f"{OWN}nth", f"{OWN}shard"])
     order = [F.xxhash64(_own("b"), F.lit(seed)), _own("a"), _own("b"), _own("id")]
-    stream = Window.partitionBy(f"{OWN}source", f"{OWN}shard").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    stream = Window.partitionBy(f"{OWN}nth", f"{OWN}shard").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn(f"{OWN}begin", F.coalesce(F.sum(_own("size")).over(stream), F.lit(0)))
     full = F.when(_own("total") > 0, F.floor(_own("words") / _own("total"))).otherwise(F.lit(0)).cast("int")
     return rows.withColumns({f"{OWN}full": F.when(_own("size") > 0, full).otherwise(F.lit(0)), f"{OWN}spans": _spans(to.block, seed)})
