@@ -27,7 +27,7 @@ LINE = ".\n"
 #: What often follows a word inside a chunk, and its run.
 ENDED = {".": 1, ",": 2, LINE: 3}
 #: Words and chunks that a worker remembers of a byte-level model (about 160 bytes each).
-WORDS = 800_000
+WORDS = 500_000
 #: Below it, Python and the library agree about what a letter is.
 LATIN_END = "\u0250"
 #: What stands for U+0020 in the pieces of a sentencepiece model.
