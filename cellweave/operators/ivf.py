@@ -7,18 +7,27 @@ by list, so a search reads only the lists it probes.
 
 from __future__ import annotations
 
+import uuid
 from math import ceil
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .vector import _distances, nearest
+from ..plans.tables import shared_root
+from .vector import _distances, nearest, nearest_many
 
-#: Vectors that centroids are fitted on, at least: the first by id.
+#: Vectors that centroids are fitted on, at most: the first by id.
 SAMPLE = 50_000
+#: Numbers in all centroids at most: they travel with each task.
+MOST_NUMBERS = 1 << 23
 TARGET, NPROBE, ROUNDS = 1000, 24, 10
+#: Of true neighbours that a tuned search finds, and queries that it is tuned on.
+RECALL, TUNED = 0.95, 256
+#: Vectors placed, or queries compared, at once.
+STEP = 1024
 
 
 def kmeans(vectors: np.ndarray, k: int, metric: str = "l2", rounds: int = ROUNDS) -> np.ndarray:
@@ -38,6 +47,17 @@ def kmeans(vectors: np.ndarray, k: int, metric: str = "l2", rounds: int = ROUNDS
     return centroids
 
 
+def _placed(vectors: DataFrame, centroids: np.ndarray, metric: str) -> DataFrame:
+    """``vectors`` (id, vec) with the number of the nearest centroid."""
+
+    @F.pandas_udf("int")
+    def place(vec: pd.Series) -> pd.Series:
+        parts = [_distances(np.stack(vec[i : i + STEP].to_numpy()).astype(float), centroids, metric).argmin(axis=1) for i in range(0, len(vec), STEP)]
+        return pd.Series(np.concatenate(parts) if parts else [], dtype="int32")
+
+    return vectors.select("id", "vec", place("vec").alias("list"))
+
+
 class Ivf:
     """``members``: id, vec, list. Build once, search many times."""
 
@@ -46,21 +66,76 @@ class Ivf:
 
     @classmethod
     def build(cls, vectors: DataFrame, metric: str = "l2", target: int = TARGET, sample: int = SAMPLE, path: str | None = None) -> Ivf:
-        """``vectors``: id, vec. ``path``: writes members there, partitioned by list."""
-        spark: SparkSession = vectors.sparkSession
-        k = max(1, ceil(vectors.count() / target))
-        rows = vectors.orderBy("id").limit(max(sample, k)).select("vec").collect()
-        centroids = kmeans(np.array([x["vec"] for x in rows], float), min(k, len(rows)), metric) if rows else np.zeros((1, 1))
-
-        @F.pandas_udf("int")
-        def place(vec: pd.Series) -> pd.Series:
-            return pd.Series(_distances(np.stack(vec.to_numpy()).astype(float), centroids, metric).argmin(axis=1)) if len(vec) else pd.Series([], dtype="int32")
+        """``vectors``: id, vec. Members are written, partitioned by list, to ``path`` or the shared folder.
 
-        members = vectors.select("id", "vec", place("vec").alias("list"))
-        if path:
-            members.repartition("list").write.partitionBy("list").parquet(path)
-            members = spark.read.parquet(path)
-        return cls(centroids, members, metric)
+        There are at most as many lists as sampled vectors, and MOST_NUMBERS numbers in
+        all centroids: beyond that lists grow past ``target``.
+        """
+        spark: SparkSession = vectors.sparkSession
+        rows = vectors.orderBy("id").limit(sample).select("vec").collect()
+        fitted = np.array([x["vec"] for x in rows], float) if rows else np.zeros((1, 1))
+        k = min(max(1, ceil(vectors.count() / target)), len(fitted), max(1, MOST_NUMBERS // fitted.shape[1]))
+        centroids = kmeans(fitted, k, metric) if rows else fitted
+        path = path or f"{shared_root(spark)}/cellweave-ivf-{uuid.uuid4().hex}"
+        members = _placed(vectors, centroids, metric)
+        members.repartition("list").write.partitionBy("list").parquet(path)
+        return cls(centroids, spark.read.schema(members.schema).parquet(path), metric)
+
+    def inserted(self, vectors: DataFrame) -> Ivf:
+        """With ``vectors`` (id, vec) in their nearest lists; they replace those with their ids."""
+        rest = self.deleted(vectors.select("id"))
+        return Ivf(self.centroids, rest.members.unionByName(_placed(vectors, self.centroids, self.metric)), self.metric)
+
+    def deleted(self, ids: DataFrame) -> Ivf:
+        return Ivf(self.centroids, self.members.join(ids.select("id").distinct(), "id", "left_anti"), self.metric)
+
+    def search_many(self, queries: DataFrame, k: int, nprobe: int = NPROBE) -> DataFrame:
+        """``queries``: id, vec. query, id, distance of each query's k nearest in the lists it probes.
+
+        Queries go to the lists they probe and meet their members there, as a matrix
+        product for each list that hands on the k best of each query.
+        """
+        centroids, metric = self.centroids, self.metric
+        nprobe = min(nprobe, len(centroids))
+
+        @F.pandas_udf("array<int>")
+        def probe(vec: pd.Series) -> pd.Series:
+            if not len(vec):
+                return pd.Series([], dtype="object")
+            d = _distances(np.stack(vec.to_numpy()).astype(float), centroids, metric)
+            return pd.Series(list(np.argsort(d, axis=1, kind="stable")[:, :nprobe].astype(np.int32)))
+
+        def meet(asked: pa.Table, own: pa.Table) -> pa.Table:
+            found = [[], [], []]
+            if asked.num_rows and own.num_rows:
+                ids, vec = own["id"].to_numpy(), np.array(own["vec"].to_pylist(), float)
+                for i in range(0, asked.num_rows, STEP):
+                    part = asked.slice(i, STEP)
+                    d = _distances(np.array(part["vec"].to_pylist(), float), vec, metric)
+                    order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
+                    for x, y in zip(found, (np.repeat(part["query"].to_numpy(), order.shape[1]), ids[order].ravel(), np.take_along_axis(d, order, 1).ravel()), strict=True):
+                        x.append(y)
+            columns = [np.concatenate(x) if x else np.empty(0) for x in found]
+            ok = ~np.isnan(columns[2])
+            return pa.table([pa.array(x[ok], kind) for x, kind in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query", "id", "distance"])
+
+        asked = queries.select(F.col("id").cast("bigint").alias("query"), "vec", F.explode(probe("vec")).alias("list"))
+        own = self.members.select("list", F.col("id").cast("bigint").alias("id"), "vec")
+        met = asked.groupBy("list").cogroup(own.groupBy("list")).applyInArrow(meet, "query bigint, id bigint, distance double")
+        rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))
+        return met.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+
+    def tuned(self, vectors: DataFrame, queries: DataFrame, k: int, recall: float = RECALL, sample: int = TUNED) -> int:
+        """Lists to probe so that the first ``sample`` queries find ``recall`` of their true k nearest: those neighbours' lists are ranked by each query's distance to the centroids."""
+        few = queries.orderBy("id").limit(sample)
+        true = nearest_many(vectors, few, k, self.metric).select("query", "id").join(self.members.select("id", "list"), "id")
+        lists = true.groupBy("query").agg(F.collect_list("list").alias("lists")).join(few.select(F.col("id").alias("query"), "vec"), "query").collect()
+        needed = []
+        for x in lists:
+            rank = np.argsort(np.argsort(_distances(np.array([x["vec"]], float), self.centroids, self.metric)[0], kind="stable"))
+            needed += [int(rank[i]) + 1 for i in x["lists"]]
+        needed.sort()
+        return needed[ceil(recall * len(needed)) - 1] if needed else 1
 
     def probes(self, query: list[float], nprobe: int) -> list[int]:
         d = _distances(np.array([query], float), self.centroids, self.metric)[0]
@@ -102,10 +177,5 @@ class Ivf:
                 kept += list(kmeans(np.array([x["vec"] for x in rows], float), 2, self.metric))
             elif n >= target / 4 or len(sizes) == 1:
                 kept.append(c)
-        centroids, metric = np.array(kept or list(self.centroids)), self.metric
-
-        @F.pandas_udf("int")
-        def place(vec: pd.Series) -> pd.Series:
-            return pd.Series(_distances(np.stack(vec.to_numpy()).astype(float), centroids, metric).argmin(axis=1)) if len(vec) else pd.Series([], dtype="int32")
-
-        return Ivf(centroids, self.members.select("id", "vec", place("vec").alias("list")), metric)
+        centroids = np.array(kept or list(self.centroids))
+        return Ivf(centroids, _placed(self.members, centroids, self.metric), self.metric)

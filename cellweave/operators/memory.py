@@ -10,6 +10,7 @@ best; each step is a keyed aggregation or a window over candidates alone.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import acos, ceil, log, log2, pi
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import squeezed
 from ..plans.tables import cut_lineage
+from .select import running
 from .text import Index
 from .vector import distance
 
@@ -28,6 +30,8 @@ RRF = 60.0
 WEEK_US = 7 * 86_400_000_000
 CANDIDATES = 50
 CONSOLIDATED = 0.5
+#: Unlike vectors of a bucket in near_duplicates, about, and the chance that it misses a pair.
+BUCKET, MISSED = 256, 0.001
 GRAPH_SEEDS, GRAPH_MOST, GRAPH_HOPS = 10, 20, 4
 HIT_BYTES, SIGNAL_BYTES = 16, 48
 COLUMNS = {
@@ -196,40 +200,54 @@ def exact_dedup(rows: DataFrame) -> DataFrame:
     return out
 
 
-def near_duplicates(rows: DataFrame, similarity: float = 0.95, bits: int = 8, tables: int = 20, seed: int = 7) -> DataFrame:
+def lsh_shape(n: int, similarity: float, missed: float = MISSED) -> tuple[int, int]:
+    """Bits of a bucket's key, so that a bucket of ``n`` unlike vectors has some BUCKET; tables, so that a pair at ``similarity`` shares no bucket with a chance of ``missed`` at most."""
+    bits = max(8, ceil(log2(max(1, n / BUCKET))))
+    together = (1 - acos(min(1.0, max(-1.0, similarity))) / pi) ** bits
+    return bits, 1 if together >= 1 else ceil(log(missed) / log(1 - together))
+
+
+def near_duplicates(rows: DataFrame, similarity: float = 0.95, bits: int | None = None, tables: int | None = None, seed: int = 7) -> DataFrame:
     """ns, id, of, similarity: each memory's nearest older one at cosine ``similarity`` or more; of equally near ones the oldest.
 
-    Equal embeddings are one: all but the oldest are nearest to that one, and it alone
-    is compared with others. Candidates share a bucket of signs of random projections
-    in one of ``tables`` tables, so no namespace is paired with itself; found pairs are
-    exact, and a pair at ``similarity`` shares a bucket with the probability that these
-    two figures give.
+    Vectors of one dimension are compared with each other; superseded memories, and
+    vectors that are null, zero or not finite, with none. Equal embeddings are one: all
+    but the oldest are nearest to that one, and it alone is compared with others.
+    Candidates share a bucket of signs of random projections in one of ``tables``
+    tables (``lsh_shape`` gives both figures where they are null), so no namespace is
+    paired with itself; pairs are of ids until they are distinct, and exact.
     """
-    rows = rows.where(F.col("embedding").isNotNull() & F.exists("embedding", lambda x: x != 0))
-    one = rows.select(F.size("embedding").alias("n")).first()
-    dim = one["n"] if one else 1
-    planes = np.random.default_rng(seed).normal(size=(tables * bits, dim))
+    good = F.col("embedding").isNotNull() & F.exists("embedding", lambda x: x != 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = rows.where(good & ~F.coalesce("superseded", F.lit(False)))
+    marked = rows.select("ns", "id", "created", "embedding", F.size("embedding").alias("dim"), F.xxhash64("embedding").alias("same"))
+    heads = marked.groupBy("ns", "dim", "same").agg(F.min(F.struct("created", "id")).alias("head"), F.min_by("embedding", F.struct("created", "id")).alias("embedding"))
+    heads = cut_lineage(heads.select("ns", "dim", "same", "head.created", "head.id", "embedding"))
+    if bits is None or tables is None:
+        own_bits, own_tables = lsh_shape(heads.count(), similarity)
+        bits, tables = bits or own_bits, tables or own_tables
 
     @F.pandas_udf("array<bigint>")
     def keys(vec: pd.Series) -> pd.Series:
-        if not len(vec):
-            return pd.Series([], dtype="object")
-        signs = (np.stack(vec.to_numpy()).astype(float) @ planes.T > 0).reshape(len(vec), tables, bits)
-        return pd.Series(list((signs * (1 << np.arange(bits))).sum(axis=2) + (np.arange(tables) << bits)))
+        out = pd.Series([None] * len(vec), index=vec.index, dtype="object")
+        for dim, own in vec.groupby(vec.map(len)):
+            planes = np.random.default_rng((seed, dim)).normal(size=(tables * bits, dim))
+            signs = (np.stack(own.to_numpy()).astype(float) @ planes.T > 0).reshape(len(own), tables, bits)
+            found = (signs * (1 << np.arange(bits))).sum(axis=2) + (np.arange(tables) << bits)
+            out.loc[own.index] = pd.Series(list(found), index=own.index)
+        return out
 
-    marked = rows.where(F.size("embedding") == dim).select("ns", "id", "created", "embedding", F.xxhash64("embedding").alias("same"))
-    heads = marked.groupBy("ns", "same").agg(F.min(F.struct("created", "id")).alias("head"), F.min_by("embedding", F.struct("created", "id")).alias("embedding"))
-    heads = cut_lineage(heads.select("ns", "same", "head.created", "head.id", "embedding"))
-    copies = marked.join(heads.select("ns", "same", F.col("id").alias("of")), ["ns", "same"]).where("id <> of").select("ns", "id", "of", F.lit(1.0).alias("similarity"))
+    copies = marked.join(heads.select("ns", "dim", "same", F.col("id").alias("of")), ["ns", "dim", "same"]).where("id <> of").select("ns", "id", "of", F.lit(1.0).alias("similarity"))
 
     def norm(c):
         return F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
-    own = heads.select("ns", "id", "created", "embedding", F.explode(keys("embedding")).alias("key"))
-    other = own.select("ns", "key", F.col("id").alias("of"), F.col("created").alias("of_created"), F.col("embedding").alias("of_embedding"))
+    own = heads.select("ns", "dim", "id", "created", F.explode(keys("embedding")).alias("key"))
+    other = own.select("ns", "dim", "key", F.col("id").alias("of"), F.col("created").alias("of_created"))
     older = F.struct("of_created", "of") < F.struct(F.col("created").alias("of_created"), F.col("id").alias("of"))
+    pairs = own.join(other, ["ns", "dim", "key"]).where(older).select("ns", "id", "of", "of_created").distinct()
+    pairs = pairs.join(heads.select("ns", "id", "embedding"), ["ns", "id"]).join(heads.select("ns", F.col("id").alias("of"), F.col("embedding").alias("of_embedding")), ["ns", "of"])
     dot = F.aggregate(F.zip_with("embedding", "of_embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    pairs = own.join(other, ["ns", "key"]).where(older).withColumn("similarity", F.try_divide(dot, norm("embedding") * norm("of_embedding"))).where(F.col("similarity") >= similarity)
+    pairs = pairs.withColumn("similarity", F.try_divide(dot, norm("embedding") * norm("of_embedding"))).where(F.col("similarity") >= similarity)
     best = pairs.groupBy("ns", "id").agg(F.max_by("of", F.struct("similarity", -F.col("of_created"), -F.col("of"))).alias("of"), F.max("similarity").alias("similarity"))
     return best.unionByName(copies)
 
@@ -249,27 +267,65 @@ def due(rows: DataFrame, now: int, min_retention: float | None = None, max_age:
     return out.select("ns", "id", "retention").orderBy("ns", "id").limit(per_pass)
 
 
-def consolidation_groups(rows: DataFrame, ns: str, now: int, min_age: int = 3_600_000_000, similarity: float = 0.8, least: int = 2, most: int = 16, groups: int = 100) -> DataFrame:
-    """session, id, grp: old episodic memories of a session, grouped greedily around the first ungrouped one by cosine similarity."""
+def _consolidable(rows: DataFrame, ns: str, now: int, min_age: int) -> DataFrame:
+    """Old episodic memories that nothing holds back, with ``at``: their place, newest first."""
     old = rows.where((F.col("ns") == ns) & (F.col("kind") == "episodic") & (F.col("created") <= now - min_age) & ~F.col("consolidated") & ~F.col("superseded") & ~F.col("pinned") & F.col("embedding").isNotNull())
-    few = old.orderBy(F.desc("created"), "id").limit(groups * most * 4)
+    return old.select("session", "id", "created", "embedding", F.struct((-F.col("created")).alias("newest"), "id").alias("at"))
+
 
-    def greedy(own: pa.Table) -> pa.Table:
+def _greedy(similarity: float, least: int, most: int):
+    """Of one session's memories: a group around the first that is left, again and again."""
+
+    def run(own: pa.Table) -> pa.Table:
         own = own.sort_by([("created", "descending"), ("id", "ascending")])
-        ids, sessions = own["id"].to_pylist(), own["session"].to_pylist()
-        vec = np.array(own["embedding"].to_pylist(), float)
-        vec /= np.maximum(np.linalg.norm(vec, axis=1, keepdims=True), 1e-30)
+        ids, sessions, created = own["id"].to_pylist(), own["session"].to_pylist(), own["created"].to_pylist()
+        lists = own["embedding"].to_pylist()
+        unit = [np.array(x, float) for x in lists]
+        unit = [x / max(float(np.linalg.norm(x)), 1e-30) for x in unit]
         left, out = list(range(len(ids))), []
         while left:
             seed = left[0]
-            near = [i for i in left if i == seed or vec[i] @ vec[seed] >= similarity][:most]
+            near = [seed] + [i for i in left[1:] if len(unit[i]) == len(unit[seed]) and unit[i] @ unit[seed] >= similarity][: most - 1]
             if len(near) >= least:
-                out += [(sessions[i], ids[i], ids[seed]) for i in near]
-            left = [i for i in left if i not in set(near)]
-        kinds = (pa.string(), pa.int64(), pa.int64())
-        return pa.table({name: pa.array([x[k] for x in out], kind) for k, (name, kind) in enumerate(zip(("session", "id", "grp"), kinds, strict=True))})
+                out += [(sessions[i], ids[i], ids[seed], created[seed]) for i in near]
+            gone = set(near)
+            left = [i for i in left if i not in gone]
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+        return pa.table({name: pa.array([x[k] for x in out], kind) for k, (name, kind) in enumerate(zip(("session", "id", "grp", "seeded"), kinds, strict=True))})
+
+    return run
+
+
+_GROUPS = "session string, id bigint, grp bigint, seeded bigint"
 
-    return few.select("session", "id", "created", "embedding").groupBy("session").applyInArrow(greedy, "session string, id bigint, grp bigint")
+
+def consolidation_groups(rows: DataFrame, ns: str, now: int, min_age: int = 3_600_000_000, similarity: float = 0.8, least: int = 2, most: int = 16, groups: int = 100) -> DataFrame:
+    """session, id, grp: all old episodic memories of a namespace, grouped greedily around the first ungrouped one of a session by cosine similarity.
+
+    What chained passes scan, ``4 x groups x most`` memories each, newest first, is laid
+    side by side: every memory is in one stretch, and no task has more than a stretch.
+    """
+    old = _consolidable(rows, ns, now, min_age).withColumn("one", F.lit(1))
+    placed = running(old, "at", "one", "before").withColumn("stretch", F.floor(F.col("before") / (4 * groups * most)))
+    return placed.select("stretch", "session", "id", "created", "embedding").groupBy("stretch", "session").applyInArrow(_greedy(similarity, least, most), _GROUPS).drop("seeded")
+
+
+def consolidation_pass(rows: DataFrame, ns: str, now: int, after: tuple[int, int] | None = None, min_age: int = 3_600_000_000, similarity: float = 0.8, least: int = 2, most: int = 16, groups: int = 100) -> tuple[DataFrame, tuple[int, int] | None]:
+    """One pass: the first ``groups`` groups, newest seed first, of what it scans after a position; and where the next one resumes (created, id), None at the end.
+
+    Groups left out have their seeds after the last kept one's, so the next pass finds them.
+    """
+    old = _consolidable(rows, ns, now, min_age)
+    if after is not None:
+        old = old.where(F.col("at") > F.struct(F.lit(-after[0]).alias("newest"), F.lit(after[1]).alias("id")))
+    scanned = cut_lineage(old.orderBy("at").limit(4 * groups * most))
+    found = cut_lineage(scanned.drop("at").groupBy("session").applyInArrow(_greedy(similarity, least, most), _GROUPS))
+    seeds = found.where("id = grp").orderBy(F.desc("seeded"), "grp").limit(groups + 1).collect()
+    if len(seeds) > groups:
+        kept = [x["grp"] for x in seeds[:groups]]
+        return found.where(F.col("grp").isin(kept)).drop("seeded"), (seeds[groups - 1]["seeded"], seeds[groups - 1]["grp"])
+    n, last = scanned.agg(F.count("*"), F.max("at")).first()
+    return found.drop("seeded"), (-last["newest"], last["id"]) if n == 4 * groups * most else None
 
 
 def mark_used(rows: DataFrame, ids: DataFrame, now: int) -> DataFrame:

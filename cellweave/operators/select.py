@@ -171,7 +171,8 @@ def after(selected: DataFrame, row: bytes, fam: int | None = None, qualifier: by
     if fam is None:
         return selected.where(F.col("row") > F.lit(row))
     at = F.struct(F.lit(row).alias("row"), F.lit(fam).alias("fam"), F.lit(qualifier).alias("qualifier"))
-    return selected.where(F.struct("row", "fam", "qualifier") > at)
+    # The first test, which the second implies, reaches the scan.
+    return selected.where((F.col("row") >= F.lit(row)) & (F.struct("row", "fam", "qualifier") > at))
 
 
 def cell_bytes() -> Column:

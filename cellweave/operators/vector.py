@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 METRICS = ("l2", "ip", "cosine", "hamming")
 #: Queries of one block of a batch search: their vectors travel with each task.
 MOST_QUERIES = 65_536
+#: Numbers of a block of differences, and distances of a block of queries and vectors.
+BLOCK_NUMBERS = 1 << 22
 
 
 def distance(vector: Column, query: list[float], metric: str) -> Column:
@@ -96,9 +98,10 @@ def _nearest_block(vectors: DataFrame, listed: list, k: int, metric: str) -> Dat
                 continue
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             vec = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(float)
-            for at in range(0, len(ids), 4096):
-                d = _distances(block, vec[at : at + 4096], metric)
-                own = np.broadcast_to(ids[at : at + 4096], d.shape)
+            step = max(1, min(4096, BLOCK_NUMBERS // len(names)))
+            for at in range(0, len(ids), step):
+                d = _distances(block, vec[at : at + step], metric)
+                own = np.broadcast_to(ids[at : at + step], d.shape)
                 if best is not None:
                     d, own = np.concatenate([best[0], d], axis=1), np.concatenate([best[1], own], axis=1)
                 order = np.lexsort((own, d), axis=1)[:, :k]
@@ -119,7 +122,8 @@ def _distances(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndar
         with np.errstate(invalid="ignore", divide="ignore"):
             return 1 - dot / (np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(vectors, axis=1)[None, :])
     # Squared differences, not the expanded square: close vectors keep their digits.
-    return np.stack([np.square(vectors - q).sum(axis=1) for q in queries])
+    step = max(1, BLOCK_NUMBERS // max(1, vectors.size))
+    return np.concatenate([np.square(queries[i : i + step, None, :] - vectors[None]).sum(axis=2) for i in range(0, len(queries), step)]) if len(queries) else dot
 
 
 def to_half(values: np.ndarray) -> np.ndarray:

@@ -155,30 +155,53 @@ class Condition:
 def returning(cells: DataFrame, families: list[Family]) -> DataFrame:
     """What each increment of integer sum families returns: ``previous`` and ``current``, in commit order.
 
-    Every caller sees its own step. Puts set the value; sums wrap.
+    Every caller sees its own step. Puts set the value; sums wrap. A delete at or above
+    an input's timestamp (a cell's: at it) that was committed before the input begins
+    the column's version anew: the next increment has no previous value.
     """
     names = [f.name for f in families if f.kind == "sum"]
-    rows = cells.where(F.col("family").isin(names) & F.col("kind").isin(PUT, MERGE))
-    order = Window.partitionBy(*COLUMN, "ts").orderBy("seqno", "op")
+    own = cells.where(F.col("family").isin(names))
+    inputs = own.where(F.col("kind").isin(PUT, MERGE)).select(*COLUMN, "ts", "seqno", "op", "kind", "value_i64")
+    deletes = own.where(F.col("kind").isin(CELL_DELETE, COLUMN_DELETE, FAMILY_DELETE)).select("row", "family", F.col("qualifier").alias("at"), F.col("ts").alias("upto"), "seqno", "op", "kind")
+    # The few deletes meet the versions that they reach, not the inputs.
+    hit = (F.col("at").isNull() | (F.col("at") == F.col("qualifier"))) & F.when(F.col("kind") == CELL_DELETE, F.col("ts") == F.col("upto")).otherwise(F.col("ts") <= F.col("upto"))
+    starts = deletes.join(inputs.select(*COLUMN, "ts").distinct(), ["row", "family"]).where(hit).select(*COLUMN, "ts", "seqno", "op", "kind", F.lit(None).cast("bigint").alias("value_i64"))
+    rows = inputs.unionByName(starts)
+    # Inputs of a delete's own commit outlive it.
+    by = ["seqno", F.col("kind").isin(PUT, MERGE), "op"]
+    order = Window.partitionBy(*COLUMN, "ts").orderBy(*by)
     sofar = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("reset", F.sum((F.col("kind") == PUT).cast("int")).over(sofar))
-    own = Window.partitionBy(*COLUMN, "ts", "reset").orderBy("seqno", "op").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = F.sum(F.col("value_i64").cast("decimal(38,0)")).over(own)
+    rows = rows.withColumn("reset", F.sum((F.col("kind") != MERGE).cast("int")).over(sofar))
+    since = Window.partitionBy(*COLUMN, "ts", "reset").orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = F.sum(F.col("value_i64").cast("decimal(38,0)")).over(since)
     rows = rows.withColumn("current", wrap_i64(total))
-    return rows.withColumn("previous", F.lag("current").over(order)).select(*COLUMN, "ts", "seqno", "op", "previous", "current")
+    rows = rows.withColumn("previous", F.lag("current").over(order)).where(F.col("kind").isin(PUT, MERGE))
+    return rows.select(*COLUMN, "ts", "seqno", "op", "previous", "current")
 
 
 def conflicts(cells: DataFrame, reads: DataFrame) -> DataFrame:
     """``reads``: txn, row, family, qualifier (null: the row's whole family), start, commit. Transactions to abort.
 
     One whose read cells, or family ranges, were written after it started and
-    before it committed. Cells read by one transaction meet writes by key, so this
-    is an equi-join with a range on sequence numbers.
+    before it committed. Reads and writes of a key are sorted by number together, and
+    each read looks at the next write alone, so a hot row is no product of both. Keys
+    are of three sorts: columns; whole families, for reads of them; and family
+    markers, for reads of columns.
     """
-    log = cells.select("row", "family", F.col("qualifier").alias("written"), "seqno")
-    same = (F.col("qualifier").isNull()) | (F.col("written").isNull()) | (F.col("qualifier") == F.col("written"))
-    late = (F.col("seqno") > F.col("start")) & (F.col("seqno") < F.col("commit"))
-    return reads.join(log, ["row", "family"]).where(same & late).select("txn").distinct()
+    none = F.lit(None).cast("bigint")
+    log = cells.select("row", "family", "qualifier", "seqno", F.col("seqno").alias("written"), none.alias("txn"), none.alias("commit"))
+    asked = reads.select("row", "family", "qualifier", F.col("start").alias("seqno"), none.alias("written"), F.col("txn").cast("bigint").alias("txn"), F.col("commit").cast("bigint").alias("commit"))
+    column, whole = F.col("qualifier").isNotNull(), F.lit(None).cast("binary")
+    parts = [
+        log.where(column).withColumn("sort", F.lit(0)), log.withColumns({"sort": F.lit(1), "qualifier": whole}), log.where(~column).withColumn("sort", F.lit(2)),
+        asked.where(column).withColumn("sort", F.lit(0)), asked.where(~column).withColumn("sort", F.lit(1)), asked.where(column).withColumns({"sort": F.lit(2), "qualifier": whole}),
+    ]
+    events = parts[0]
+    for x in parts[1:]:
+        events = events.unionByName(x)
+    later = Window.partitionBy("sort", "row", "family", "qualifier").orderBy("seqno", F.col("txn").isNotNull()).rowsBetween(1, Window.unboundedFollowing)
+    events = events.withColumn("next", F.first("written", ignorenulls=True).over(later))
+    return events.where(F.col("txn").isNotNull() & (F.col("next") < F.col("commit"))).select(F.col("txn").cast(reads.schema["txn"].dataType).alias("txn")).distinct()
 
 
 def transact(body: Callable[[], object], attempts: int = 8, base_s: float = 5e-6, most_s: float = 0.1, deadline_s: float = 30.0):

@@ -304,6 +304,13 @@ def commit_returning(spark, d):
     return shown(write.returning(encode.hits(spark, d), encode.HITS), "seqno", "current", "previous")
 
 
+@query(f"""WITH e AS (SELECT {U} AS r, event_type AS q, event_id AS s, {K} AS v, event_id % 100 = 0 AS del FROM events),
+g AS (SELECT *, sum(del::INT) OVER (PARTITION BY r, q ORDER BY s) AS g FROM e), c AS (SELECT *, sum(v) OVER (PARTITION BY r, q, g ORDER BY s) AS total FROM g WHERE NOT del)
+SELECT r AS row_key, q AS qualifier, 0::BIGINT AS ts, s AS seqno, total::BIGINT AS current, (lag(total) OVER (PARTITION BY r, q, g ORDER BY s))::BIGINT AS previous FROM c""")
+def commit_returning_deletes(spark, d):
+    return shown(write.returning(encode.hits(spark, d, deletes=True), encode.HITS), "seqno", "current", "previous")
+
+
 def _folded(kind: str, sql: str) -> None:
     def run(spark, d):
         return shown(select.select(encode.hits(spark, d, "agg"), [Family("agg", kind)]), "value_i64")
@@ -561,12 +568,27 @@ def ivf_probe_all(spark, d):
     return Ivf.build(own, target=100).search(_QUERY, 10, nprobe=1_000_000).select("id", F.round("distance", 6).alias("distance"))
 
 
-@query()
-def ivf_nprobe(spark, d):
+def _probed(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All vectors, every id % 20 row of them as queries, and their neighbours in as many lists as the recall asked for takes."""
     from ..operators.ivf import Ivf
 
     own = encode.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    return Ivf.build(own, target=100).search(_QUERY, 10, nprobe=3).select("id", F.round("distance", 6).alias("distance"))
+    index, asked = Ivf.build(own, target=100), own.where("id % 20 = 0")
+    return own, asked, index.search_many(asked, 10, index.tuned(own, asked, 10))
+
+
+@query()
+def ivf_nprobe(spark, d):
+    return _probed(spark, d)[2].select("query", "id", F.round("distance", 6).alias("distance"))
+
+
+@query("SELECT count(*) AS queries, TRUE AS reached FROM embeddings WHERE vec_id % 20 = 0")
+def ivf_recall(spark, d):
+    """Whether the probing search finds nine tenths of what brute force finds."""
+    own, asked, found = _probed(spark, d)
+    true = vector.nearest_many(own, asked, 10).select("query", "id")
+    hits = true.join(found.select("query", "id", F.lit(1).alias("hit")), ["query", "id"], "left")
+    return hits.agg(F.countDistinct("query").alias("queries"), (F.count("hit") >= 0.9 * F.count("*")).alias("reached"))
 
 
 @query(f"SELECT event_id AS seqno, 1::BIGINT AS n, CASE WHEN event_id % 10 = 0 THEN 'delete_column' ELSE 'put' END AS change FROM events")
@@ -590,6 +612,15 @@ def compact_gc(spark, d):
     return shown(select.select(compact.compact(encode.events(spark, d), EV, 8000), EV, Read(versions=2)), "value_f64")
 
 
+@query(f"""WITH e AS ({EV_SQL}), w AS (SELECT *, max(t) FILTER (k = 4 AND s <= 8000) OVER (PARTITION BY r, f, q) AS cover, max(s) FILTER (k = 1 AND s <= 8000) OVER (PARTITION BY r, f, q, t) AS newest FROM e),
+h AS (SELECT k, k = 1 AND s <= 8000 AND (t <= coalesce(cover, -1) OR s < newest) AS gone FROM w) SELECT k::INT AS kind, count(*) AS before, count(*) FILTER (NOT gone) AS after FROM h GROUP BY k""")
+def compact_entries(spark, d):
+    """Entries of each kind before and after compaction."""
+    log = encode.events(spark, d)
+    left = compact.compact(log, EV, 8000).groupBy("kind").agg(F.count("*").alias("after"))
+    return log.groupBy("kind").agg(F.count("*").alias("before")).join(left, "kind", "left").select("kind", "before", F.coalesce("after", F.lit(0)).alias("after"))
+
+
 @query(f"{resolved(CUST_SQL)} SELECT r AS row_key, f AS family, q AS qualifier, CASE WHEN b IS NOT NULL THEN 'bytes' WHEN i IS NOT NULL THEN 'i64' ELSE 'f64' END AS value_type, i AS value_i64, v AS value_f64 FROM res")
 def export_arrow_schema(spark, d):
     out = jsonl.export(select.select(encode.customers(spark, d), encode.CUSTOMERS))
@@ -597,9 +628,9 @@ def export_arrow_schema(spark, d):
 
 
 @query(f"""{resolved(CUST_SQL)} SELECT '{{"cell":{{"table":"cust","row":"' || r || '","family":"attr","qualifier":"' || q || '","ts":1,"value":' ||
-CASE WHEN b IS NOT NULL THEN '"' || b || '"' ELSE '{{"i64":' || i || '}}' END || '}}}}' AS line FROM res WHERE v IS NULL""")
+CASE WHEN b IS NOT NULL THEN '"' || b || '"' WHEN i IS NOT NULL THEN '{{"i64":' || i || '}}' ELSE '{{"f64":' || v || '}}' END || '}}}}' AS line FROM res""")
 def dump_rows(spark, d):
-    return jsonl.dump_lines(select.select(encode.customers(spark, d), encode.CUSTOMERS).where("value_type <> 'f64'"), "cust")
+    return jsonl.dump_lines(select.select(encode.customers(spark, d), encode.CUSTOMERS), "cust")
 
 
 @query("SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -772,7 +803,13 @@ def consolidate_groups(spark, d):
     return memory.consolidation_groups(_memories(spark, d), "a", _AT, similarity=0.2)
 
 
-@query("SELECT 0::BIGINT AS missing, 0::BIGINT AS stale")
+@query(f"{_TEXTS} SELECT count(*) FILTER (id % 7 = 0) AS missing, count(*) FILTER (id % 7 <> 0 AND id % 11 = 0) AS stale FROM post")
 def text_verify(spark, d):
-    found = _index(spark, d).verify(_turns(spark, d), "id", "text")
+    """Of an index that lacks some texts, and still has some that are gone."""
+    from ..operators.text import Index
+
+    turns = _turns(spark, d)
+    held = turns.where("id % 7 <> 0")
+    index = Index.build(held.unionByName(held.where("id % 11 = 0").withColumn("id", -F.col("id") - 1)), "id", "text")
+    found = index.verify(turns, "id", "text")
     return spark.createDataFrame([(found["missing"], found["stale"])], "missing bigint, stale bigint")

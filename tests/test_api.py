@@ -166,3 +166,83 @@ def test_tokens_sets_vectors_and_ranges(spark):
         write.fitted([200.0], {"element": "i8"})
     with pytest.raises(ValueError):
         b.set_add(b"r", "s", b"q", -1)
+
+
+def test_near_duplicates_of_several_dimensions(spark):
+    """Each dimension is compared with itself; superseded memories, zeros and NaN with none."""
+    rows = [(i, "x", [1.0, 0.0], 0.1, i) for i in range(1, 7)] + [(10 + i, "x", [0.0, 1.0, 0.0], 0.1, 10 + i) for i in range(6)] + [(20, "x", [0.0, 0.0], 0.1, 20), (21, "x", [float("nan"), 1.0], 0.1, 21), (22, "x", None, 0.1, 22)]
+    df = memories(spark, rows)
+    got = sorted((x["id"], x["of"]) for x in memory.near_duplicates(df).collect())
+    assert got == [(i, 1) for i in range(2, 7)] + [(10 + i, 10) for i in range(1, 6)]
+    hidden = memory.supersede(df, spark.createDataFrame([("a", 1)], "ns string, id bigint"))
+    assert (3, 2) in [(x["id"], x["of"]) for x in memory.near_duplicates(hidden).collect()]
+    assert 1 not in [x["of"] for x in memory.near_duplicates(hidden).collect()]
+    assert memory.near_duplicates(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("similarity", [0.7, 0.85, 0.95])
+def test_recall_of_near_duplicates(spark, similarity):
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    base = r.normal(size=(150, 16))
+    vec = np.concatenate([base, base + r.normal(size=base.shape) * 0.6 * np.tan(np.arccos(similarity))]).astype(np.float32)
+    df = memories(spark, [(i, "x", [float(x) for x in v], 0.1, i) for i, v in enumerate(vec)])
+    unit = vec.astype(float) / np.linalg.norm(vec.astype(float), axis=1, keepdims=True)
+    near = np.tril(unit @ unit.T, -1)
+    want = {i for i in range(len(vec)) if (near[i] >= similarity).any()}
+    got = {x["id"] for x in memory.near_duplicates(df, similarity).collect()}
+    assert len(want) > 30 and got <= want and len(got) >= 0.99 * len(want)
+
+
+def brute_groups(rows, similarity, least, most):
+    """rows: session, id, created, unit vector. Greedy groups of each session, newest seed first."""
+    out = []
+    for session in sorted({x[0] for x in rows}):
+        left = sorted((x for x in rows if x[0] == session), key=lambda x: (-x[2], x[1]))
+        while left:
+            seed = left[0]
+            group = [seed] + [x for x in left[1:] if sum(a * b for a, b in zip(x[3], seed[3], strict=True)) >= similarity][: most - 1]
+            left = [x for x in left if x not in group]
+            if len(group) >= least:
+                out.append((seed[2], seed[1], sorted(x[1] for x in group)))
+    return [(i, own) for _, i, own in sorted(out, key=lambda x: (-x[0], x[1]))]
+
+
+def test_consolidation_in_passes(spark):
+    import math
+    import random
+
+    r = random.Random(3)
+    rows = []
+    for i in range(120):
+        a = r.uniform(0, 2 * math.pi)
+        rows.append((f"s{r.randrange(4)}", i, r.randrange(50), (math.cos(a), math.sin(a))))
+    df = spark.createDataFrame([(s, i, c, list(v)) for s, i, c, v in rows], "session string, id bigint, created bigint, embedding array<float>")
+    df = memory.memories(df, ns=F.lit("a"), id=F.col("id"), text=F.lit("x"), embedding=F.col("embedding"), created=F.col("created"), session=F.col("session"))
+    want = brute_groups(rows, 0.9, 2, 5)
+
+    def listed(found):
+        by = {}
+        for x in found.collect():
+            by.setdefault(x["grp"], []).append(x["id"])
+        return {k: sorted(v) for k, v in by.items()}
+
+    options = {"min_age": 0, "similarity": 0.9, "least": 2, "most": 5}
+    assert listed(memory.consolidation_groups(df, "a", 100, **options)) == dict(want)
+    first, resume = memory.consolidation_pass(df, "a", 100, groups=20, **options)
+    assert listed(first) == dict(want[:20]) and resume == (next(x[2] for x in rows if x[1] == want[19][0]), want[19][0])
+    # Passes over few memories: chained, they reach every one, and no group is larger than asked.
+    seen, at, n = [], None, 0
+    while True:
+        found, at = memory.consolidation_pass(df, "a", 100, after=at, groups=2, **options)
+        groups = listed(found)
+        assert len(groups) <= 2 and all(2 <= len(x) <= 5 for x in groups.values())
+        seen += [i for x in groups.values() for i in x]
+        n += 1
+        if at is None:
+            break
+        assert n < 60
+    assert len(set(seen)) > 60
+    side = [i for x in listed(memory.consolidation_groups(df, "a", 100, groups=2, **options)).values() for i in x]
+    assert len(side) == len(set(side)) > 60

@@ -439,3 +439,84 @@ def test_nearest_many_in_blocks(spark, monkeypatch):
     whole = sorted(map(tuple, vector.nearest_many(df, df, 3).collect()))
     monkeypatch.setattr(vector, "MOST_QUERIES", 15)
     assert sorted(map(tuple, vector.nearest_many(df, df, 3).collect())) == whole and len(whole) == 120
+
+
+def brute_narrowest(terms, lists, offsets):
+    """The least width over all ways to hold distinct positions."""
+    best = math.inf
+    for at in product(*lists):
+        if all(terms[i] != terms[j] or at[i] != at[j] for i in range(len(at)) for j in range(i)):
+            shifts = [p - o for p, o in zip(at, offsets, strict=True)]
+            best = min(best, max(shifts) - min(shifts))
+    return best
+
+
+@given(st.lists(st.lists(st.integers(0, 12), min_size=1, max_size=5, unique=True).map(sorted), min_size=2, max_size=4), st.integers(0, 12))
+@settings(max_examples=300, deadline=None)
+def test_sloppy_finds_the_narrowest_place(lists, slop):
+    terms, offsets = [f"t{i}" for i in range(len(lists))], list(range(len(lists)))
+    narrowest = brute_narrowest(terms, lists, offsets)
+    found = sloppy_frequency(terms, lists, offsets, slop)
+    assert (found > 0) == (narrowest <= slop)
+    if narrowest <= slop:
+        assert found >= 1 / (narrowest + 1)
+        assert sloppy_frequency(terms, lists, offsets, narrowest) >= 1 / (narrowest + 1)
+
+
+@given(st.lists(st.integers(0, 12), min_size=1, max_size=6, unique=True).map(sorted), st.lists(st.integers(0, 12), min_size=1, max_size=4, unique=True).map(sorted), st.integers(0, 6))
+@settings(max_examples=300, deadline=None)
+def test_sloppy_repeats_hold_positions_of_their_own(own, other, slop):
+    terms, offsets = ["a", "b", "a"], [0, 1, 2]
+    found = sloppy_frequency(terms, [own, other, own], offsets, slop)
+    assert found == 0 or brute_narrowest(terms, [own, other, own], offsets) <= slop
+    assert len(own) > 1 or found == 0
+
+
+def test_sloppy_examples():
+    assert sloppy_frequency(["a", "b"], [[0, 10], [1, 13]], [0, 1], 2) == 1 + 1 / 3
+    assert sloppy_frequency(["a", "b"], [[0, 1, 2], [3]], [0, 1], 5) == 1
+    assert sloppy_frequency(["a", "a"], [[4, 5], [4, 5]], [0, 1], 0) == 1
+    assert sloppy_frequency(["a", "a"], [[4], [4]], [0, 1], 9) == 0
+
+
+def test_returning_after_deletes(spark):
+    families = {"c": Family("c", "sum")}
+
+    steps = [
+        (write.WriteBatch(families).incr(b"r", "c", b"n", 5), 1), (write.WriteBatch(families).delete_column(b"r", "c", b"n", 0), 2), (write.WriteBatch(families).incr(b"r", "c", b"n", 2), 3),
+        (write.WriteBatch(families).delete_row(b"r", 9).incr(b"r", "c", b"n", 3), 4), (write.WriteBatch(families).delete_cell(b"r", "c", b"n", 7), 5), (write.WriteBatch(families).incr(b"r", "c", b"n", 1).incr(b"r", "c", b"n", 1, 7), 6),
+    ]
+    log = spark.createDataFrame([], CELLS)
+    for b, s in steps:
+        log = log.unionByName(b.frame(spark, s, 0))
+    got = [(x["seqno"], x["ts"], x["previous"], x["current"]) for x in write.returning(log, [families["c"]]).orderBy("seqno", "ts").collect()]
+    assert got == [(1, 0, None, 5), (3, 0, None, 2), (4, 0, None, 3), (6, 0, 3, 4), (6, 7, None, 1)]
+    now = {x["ts"]: x["value_i64"] for x in select.select(log, [families["c"]], Read(versions=0)).collect()}
+    assert now == {0: 4, 7: 1}
+
+
+def test_conflicts_against_all_pairs(spark):
+    r = random.Random(9)
+    writes = [(b"r%d" % r.randrange(3), "f", None if r.random() < 0.2 else b"q%d" % r.randrange(3), r.randrange(60)) for _ in range(60)]
+    reads = [(i, b"r%d" % r.randrange(4), "f", None if r.random() < 0.3 else b"q%d" % r.randrange(3), s := r.randrange(60), s + r.randrange(1, 6)) for i in range(80)]
+    log = spark.createDataFrame([(a, b, c, 0, s, 0, 5 if c is None else 1, None, None, None, None, None) for a, b, c, s in writes], CELLS)
+    asked = spark.createDataFrame(reads, "txn int, row binary, family string, qualifier binary, start bigint, commit bigint")
+    want = {i for i, a, b, c, s, e in reads if any(a == x and b == y and (c is None or z is None or c == z) and s < n < e for x, y, z, n in writes)}
+    assert {x["txn"] for x in write.conflicts(log, asked).collect()} == want
+
+
+def test_ivf_many_and_changes(spark):
+    r = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(r.normal(size=(400, 8)))], "id bigint, vec array<float>")
+    index, asked = Ivf.build(df, target=25), df.where("id % 20 = 0")
+    true = {(x["query"], x["id"]) for x in vector.nearest_many(df, asked, 5).collect()}
+    everything = {(x["query"], x["id"]) for x in index.search_many(asked, 5, 99).collect()}
+    assert everything == true
+    nprobe = index.tuned(df, asked, 5)
+    found = {(x["query"], x["id"]) for x in index.search_many(asked, 5, nprobe).collect()}
+    assert len(found & true) >= 0.95 * len(true) and nprobe < len(index.centroids)
+    new = spark.createDataFrame([(1000, [9.0] * 8), (3, [-9.0] * 8)], "id bigint, vec array<float>")
+    more = index.inserted(new)
+    assert [x["id"] for x in more.search([9.0] * 8, 1, 99).collect()] == [1000] and [x["id"] for x in more.search([-9.0] * 8, 1, 99).collect()] == [3]
+    assert more.verify(df.where("id <> 3").unionByName(new)) == {"missing": 0, "stale": 0, "twice": 0}
+    assert more.deleted(new.select("id")).members.count() == 399
