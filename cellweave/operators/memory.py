@@ -74,10 +74,13 @@ def eligible(rows: DataFrame, recall: Recall) -> DataFrame:
     return out if recall.session is None else out.where(F.col("session") == recall.session)
 
 
-def _best(rows: DataFrame, order: list, n: int) -> DataFrame:
-    """ns, id of each namespace's first ``n``."""
-    at = F.row_number().over(Window.partitionBy("ns").orderBy(*order))
-    return rows.withColumn("n", at).where(F.col("n") <= n).select("ns", "id")
+def _best(rows: DataFrame, order: list, recall: Recall) -> DataFrame:
+    """ns, id of each namespace's first: the engine's top-k, which keeps that many a partition."""
+    parts = [rows.where(F.col("ns") == ns).orderBy(*order).limit(recall.candidates).select("ns", "id") for ns in recall.namespaces]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.union(x)
+    return out
 
 
 def keyword_scores(rows: DataFrame, recall: Recall, indexes: dict[str, Index] | None = None) -> DataFrame:
@@ -114,17 +117,20 @@ def with_signals(rows: DataFrame, recall: Recall, keyword: DataFrame | None) ->
 def candidates(rows: DataFrame, recall: Recall, indexes: dict[str, Index] | None = None) -> DataFrame:
     """Union of the best by vector, keyword and age of each namespace, with all signals."""
     own = eligible(rows, recall)
-    keyword = keyword_scores(own, recall, indexes) if recall.text else None
-    scored = cut_lineage(with_signals(own, recall, keyword))
-    lists = [_best(scored, [F.desc("created"), "id"], recall.candidates)]
+    keyword = cut_lineage(keyword_scores(own, recall, indexes)) if recall.text else None
+    # Ids and one figure each; texts and vectors are read for the candidates alone.
+    lists = [_best(own, [F.desc("created"), "id"], recall)]
     if recall.embedding:
-        lists.append(_best(scored.where("vector is not null and not isnan(vector)"), [F.desc("vector"), "id"], recall.candidates))
+        near = with_signals(own, recall, None).select("ns", "id", "vector").where("vector is not null and not isnan(vector)")
+        lists.append(_best(near, [F.desc("vector"), "id"], recall))
     if keyword is not None:
-        lists.append(_best(scored.where("keyword is not null"), [F.desc("keyword"), "id"], recall.candidates))
+        held = keyword.join(own.select("ns", "id"), ["ns", "id"], "left_semi").where("keyword is not null")
+        lists.append(_best(held, [F.desc("keyword"), "id"], recall))
     ids = lists[0]
     for x in lists[1:]:
         ids = ids.union(x)
-    return scored.join(ids.distinct(), ["ns", "id"], "left_semi")
+    found = own.join(cut_lineage(ids.distinct()), ["ns", "id"], "left_semi")
+    return with_signals(found, recall, keyword)
 
 
 def _signal(name: str):

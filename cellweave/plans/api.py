@@ -1,7 +1,8 @@
 """A table's surface: reads, writes, traversal, search and feed on one database folder.
 
-Reads are lazy DataFrames. Writes go through one writer, as one append each; a
-conditional commit and a transaction are validated against the log first.
+Reads are lazy DataFrames. A commit is one record; a conditional commit and a
+transaction are validated against the newest state, and anew where another commit
+comes between.
 """
 
 from __future__ import annotations
@@ -66,7 +67,7 @@ class Table:
 
     def snapshot(self) -> int:
         """The newest commit's number: a read with it is repeatable."""
-        return self.log.agg(F.max("seqno")).first()[0] or 0
+        return self.db.seqno()
 
     def select(self, read: Read = Read()) -> DataFrame:
         return select.select(self.log, self.families, read)
@@ -101,26 +102,31 @@ class Table:
         return vector.nearest(own, query, k, metric)
 
     def feed(self, after: int = 0, prefix: bytes | None = None) -> DataFrame:
-        """Changes since a position, as a stream."""
+        """Changes since a position, as a stream over what commits wrote; ``feed.follow_commits`` gives whole commits in order."""
         return feed.stream(self.db.spark, f"{self.db.path}/cells/{self.name}", after, prefix)
 
     def changes(self, after: int = 0, upto: int | None = None, prefix: bytes | None = None) -> DataFrame:
-        return feed.between(self.log, after, upto, prefix)
+        """FeedExpired: compaction has dropped changes after ``after``."""
+        return feed.between(self.log, after, upto, prefix, self.db.retained(self.name))
 
     def batch(self) -> write.WriteBatch:
         return write.WriteBatch({f.name: f for f in self.families})
 
-    def commit(self, batch: write.WriteBatch, now: int | None = None) -> int:
-        """One append; returns its number."""
-        seqno = self.snapshot() + 1
-        self.db.append(self.name, batch.frame(self.db.spark, seqno, time.time_ns() // 1000 if now is None else now))
-        return seqno
+    def commit(self, batch: write.WriteBatch, now: int | None = None, check=None) -> int:
+        """Returns the commit's number."""
+        return commit_all(self.db, {self.name: batch}, now, check)
 
     def commit_if(self, batch: write.WriteBatch, condition: write.Condition, now: int | None = None) -> int | None:
         """None: the condition failed and nothing was written."""
-        if not condition.holds(self.log, self.families):
+
+        def check() -> None:
+            if not condition.holds(self.log, self.families):
+                raise write.Conflict("the condition failed")
+
+        try:
+            return self.commit(batch, now, check)
+        except write.Conflict:
             return None
-        return self.commit(batch, now)
 
     def commit_returning(self, batch: write.WriteBatch, now: int | None = None) -> DataFrame:
         """Commits, and returns what its increments saw: previous and current."""
@@ -131,6 +137,12 @@ class Table:
         return Transaction(self, self.snapshot())
 
 
+def commit_all(db: Database, batches: dict[str, write.WriteBatch], now: int | None = None, check=None) -> int:
+    """One commit to several tables, readable at once; returns its number."""
+    at = time.time_ns() // 1000 if now is None else now
+    return db.commit(lambda seqno: {t: b.frame(db.spark, seqno, at) for t, b in batches.items()}, check)
+
+
 @dataclass
 class Transaction:
     """Optimistic and serializable over the columns and row families it read."""
@@ -153,8 +165,10 @@ class Transaction:
 
     def commit(self, now: int | None = None) -> int:
         """Raises Conflict if what was read has changed since the start."""
-        if self.reads:
+
+        def check() -> None:
             rows = self.table.db.spark.createDataFrame([(*x, self.start, 2**62) for x in self.reads], "txn int, row binary, family string, qualifier binary, start bigint, commit bigint")
             if write.conflicts(self.table.log, rows).take(1):
                 raise write.Conflict(f"what was read changed after {self.start}")
-        return self.table.commit(self.batch, now)
+
+        return self.table.commit(self.batch, now, check if self.reads else None)

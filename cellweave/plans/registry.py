@@ -5,6 +5,7 @@ Names follow the operator they show. Row keys and qualifiers are shown as text.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -434,13 +435,55 @@ def row_pages(spark, d):
     return shown(select.row_pages(select.select(encode.events(spark, d), EV, Read(versions=5)), 7), "page")
 
 
-@query(f"""{resolved(EV_SQL, 6000)}, c AS ({newest(1)})
-SELECT 'u:00000007' AS row_key, EXISTS (SELECT 1 FROM c WHERE r = 'u:00000007' AND q = 'click') AS "exists", NOT EXISTS (SELECT 1 FROM c WHERE r = 'u:00000007' AND q = 'none') AS "absent" """)
+def _database(spark, name: str = "events"):
+    """A new database in the shared folder, with one table."""
+    from .api import Table
+    from .tables import Database, shared_root
+
+    db = Database(spark, f"{shared_root(spark)}/cellweave-db-{uuid.uuid4().hex}")
+    db.create_table(name, EV)
+    return db, Table(db, name)
+
+
+_SEEN = f"{resolved(EV_SQL)}, c AS ({newest(1)}), had AS (SELECT count(*) > 0 AS had FROM c WHERE r = 'u:00000007' AND q = 'click')"
+
+
+@query(f"""{_SEEN} SELECT q AS qualifier, v AS value_f64 FROM c WHERE r = 'u:00000007'
+UNION ALL SELECT 'first', 1.0 FROM had WHERE had UNION ALL SELECT 'second', 2.0 FROM had WHERE NOT had UNION ALL SELECT 'third', 3.0""")
 def check_and_mutate(spark, d):
+    """A row after three conditional commits: on a column that exists, on its absence, and on what the first one wrote."""
+    _, own = _database(spark)
+    own.db.append("events", encode.events(spark, d))
+    row, far = b"u:00000007", 2_000_000_000_000_000
+    own.commit_if(own.batch().put(row, "ev", b"first", 1.0), write.Condition(row, "ev", b"click", "exists"), far)
+    own.commit_if(own.batch().put(row, "ev", b"second", 2.0), write.Condition(row, "ev", b"click", "absent"), far)
+    own.commit_if(own.batch().put(row, "ev", b"third", 3.0), write.Condition(row, "ev", b"first", "value", 1.0), far)
+    return own.row(row).select(F.col("qualifier").cast("string").alias("qualifier"), "value_f64")
+
+
+@query(f"SELECT event_id AS seqno, {U} AS row_key, event_type AS qualifier, epoch_us(ts) AS ts, CASE WHEN event_id <= 6000 THEN 3 ELSE 4 END::BIGINT AS n FROM events WHERE event_id > 3000")
+def feed_resume(spark, d):
+    """Whole commits after a token, with the number of each."""
+    from ..streaming.feed import after_token
+
+    db, _ = _database(spark)
     log = encode.events(spark, d)
-    has = write.Condition(b"u:00000007", "ev", b"click", "exists").holds(log, EV, 6000)
-    none = write.Condition(b"u:00000007", "ev", b"none", "absent").holds(log, EV, 6000)
-    return spark.createDataFrame([("u:00000007", has, none)], "row_key string, exists boolean, absent boolean")
+    for low, high in ((-1, 3000), (3000, 6000), (6000, 2**62)):
+        db.append("events", log.where((F.col("seqno") > low) & (F.col("seqno") <= high)))
+    return shown(after_token(db, 2)[0], "seqno", "n")
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, 'TableCreated', 'events'), (1, 'FamilyAdded', 'events'), (3, 'FamilyAdded', 'events'), (4, 'TableCreated', 'more'), (5, 'TableDropped', 'events')) AS t(n, event, table_name)")
+def feed_catalog(spark, d):
+    """Catalog events at their places between commits."""
+    from ..streaming.feed import after_token
+
+    db, _ = _database(spark)
+    db.append("events", encode.events(spark, d))
+    db.add_family("events", Family("late"))
+    db.create_table("more", [])
+    db.drop_table("events")
+    return spark.createDataFrame(after_token(db)[1], "n bigint, event string, table_name string")
 
 
 @query(f"""SELECT DISTINCT a.event_id AS txn FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = b.event_type
@@ -621,6 +664,22 @@ def compact_entries(spark, d):
     return log.groupBy("kind").agg(F.count("*").alias("before")).join(left, "kind", "left").select("kind", "before", F.coalesce("after", F.lit(0)).alias("after"))
 
 
+@query(f"""WITH e AS (SELECT user_id AS r, event_type AS q, event_id AS s, event_id % 100 = 0 AS del FROM events), c AS (SELECT r, q, max(s) AS cut FROM e WHERE del AND s <= 8000 GROUP BY r, q),
+k AS (SELECT s, CASE WHEN del THEN 4 ELSE 2 END AS kind FROM e), f AS (SELECT count(DISTINCT (r, q)) AS n FROM e LEFT JOIN c USING (r, q) WHERE NOT del AND s <= 8000 AND s > coalesce(cut, -1))
+SELECT kind, count(*) AS before, count(*) FILTER (kind = 4 OR s > 8000) + CASE WHEN kind = 2 THEN any_value(n) ELSE 0 END AS after FROM k, f GROUP BY kind""")
+def compact_counters(spark, d):
+    """Entries of a counter family before and after its operands up to a number are folded."""
+    log = encode.hits(spark, d, deletes=True)
+    left = compact.compact(log, encode.HITS, 8000).groupBy("kind").agg(F.count("*").alias("after"))
+    return log.groupBy("kind").agg(F.count("*").alias("before")).join(left, "kind", "left").select("kind", "before", F.coalesce("after", F.lit(0)).alias("after"))
+
+
+@query(SQL["counter_deletes"])
+def compact_reads(spark, d):
+    """The same totals from the folded log."""
+    return shown(select.select(compact.compact(encode.hits(spark, d, deletes=True), encode.HITS, 8000), encode.HITS), "value_i64")
+
+
 @query(f"{resolved(CUST_SQL)} SELECT r AS row_key, f AS family, q AS qualifier, CASE WHEN b IS NOT NULL THEN 'bytes' WHEN i IS NOT NULL THEN 'i64' ELSE 'f64' END AS value_type, i AS value_i64, v AS value_f64 FROM res")
 def export_arrow_schema(spark, d):
     out = jsonl.export(select.select(encode.customers(spark, d), encode.CUSTOMERS))

@@ -1,8 +1,9 @@
 """Change feed: commits in order, as a stream or a batch, with resumable positions.
 
-The log of a table is written as files; a stream over them delivers each commit
-once, and the stream's checkpoint is its token. A file source doesn't order rows
-inside a micro-batch, so sinks get batches sorted by (seqno, op).
+``follow_commits`` streams a database's commit records and delivers whole commits in
+order; its checkpoint is its position. ``stream`` reads a table's files without
+that order, for sinks that don't need it; ``between`` and ``after_token`` are the
+feed as a batch.
 """
 
 from __future__ import annotations
@@ -23,10 +24,13 @@ class FeedExpired(Exception):
     """The position asked for lies before what is retained."""
 
 
+def _names():
+    return F.create_map(*[F.lit(x) for k, v in KINDS.items() for x in (k, v)])
+
+
 def changes(cells: DataFrame, table: str = "") -> DataFrame:
     """Log entries as changes: table, seqno, op, change (its kind's name) and the entry."""
-    names = F.create_map(*[F.lit(x) for k, v in KINDS.items() for x in (k, v)])
-    return cells.select(F.lit(table).alias("table"), "seqno", "op", F.element_at(names, F.col("kind")).alias("change"), *[c for c in CHANGE if c != "kind"])
+    return cells.select(F.lit(table).alias("table"), "seqno", "op", F.element_at(_names(), F.col("kind")).alias("change"), *[c for c in CHANGE if c != "kind"])
 
 
 def commits(changed: DataFrame) -> DataFrame:
@@ -48,8 +52,9 @@ def between(cells: DataFrame, after: int, upto: int | None = None, prefix: bytes
 
 
 def stream(spark: SparkSession, path: str, after: int = 0, prefix: bytes | None = None, max_files: int = 100) -> DataFrame:
-    """A streaming DataFrame of changes over a log's files."""
+    """A streaming DataFrame of changes over the files that a table's commits wrote, each once, in no order; the family is in a file's path."""
     source = spark.readStream.schema(CELLS).option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", "true").parquet(path)
+    source = source.withColumn("family", F.regexp_extract(F.input_file_name(), "/family=([^/]*)/", 1))
     return between(source, after, prefix=prefix)
 
 
@@ -70,6 +75,59 @@ def replicate(changed: DataFrame, checkpoint: str, target: str, once: bool = Tru
     return follow(changed, checkpoint, apply, once)
 
 
+def changes_of(db, records: list[dict], prefix: bytes | None = None) -> DataFrame:
+    """Changes that these records' commits wrote: n (the record's number) and the columns of ``changes``. Compactions write none."""
+    parts = []
+    for x in records:
+        for table, folder in sorted(x["folders"].items()):
+            if not x["replaces"]:
+                parts.append((x["n"], table, folder))
+    by: dict[str, list] = {}
+    for n, table, folder in parts:
+        by.setdefault(table, []).append((n, folder))
+    out = None
+    for table, own in by.items():
+        rows = db.read([x for _, x in own], "commit")
+        numbers = db.spark.createDataFrame([(x.rpartition("=")[2], n) for n, x in own], "commit string, n bigint")
+        if prefix is not None:
+            rows = rows.where(Bounds.prefix(prefix).test(F.col("row")))
+        found = rows.join(F.broadcast(numbers), "commit")  # a row for each commit of the batch
+        named = found.select("n", F.lit(table).alias("table"), "seqno", "op", F.element_at(_names(), F.col("kind")).alias("change"), *[c for c in CHANGE if c != "kind"])
+        out = named if out is None else out.unionByName(named)
+    if out is None:
+        return changes(db.spark.createDataFrame([], CELLS)).withColumn("n", F.lit(0).cast("bigint")).select("n", "table", "seqno", "op", "change", *[c for c in CHANGE if c != "kind"])
+    return out
+
+
+def catalog_changes(records: list[dict]) -> list[tuple[int, str, str | None]]:
+    """n, event, table of the catalog events in these records, in order."""
+    return [(x["n"], e["event"], e["table"]) for x in records for e in x["events"]]
+
+
+def after_token(db, token: int = 0, upto: int | None = None, prefix: bytes | None = None) -> tuple[DataFrame, list[tuple], int]:
+    """Whole commits after a token (a record's number): their changes, their catalog events, and the next token."""
+    records = [x for x in db.records() if x["n"] > token and (upto is None or x["n"] <= upto)]
+    return changes_of(db, records, prefix), catalog_changes(records), max([token, *(x["n"] for x in records)])
+
+
+def follow_commits(db, checkpoint: str, sink: Callable[[DataFrame, list[tuple], int], None], prefix: bytes | None = None, most: int = 100, once: bool = True) -> StreamingQuery:
+    """Calls ``sink`` with the changes of some whole commits, sorted, their catalog events, and the last one's number.
+
+    The stream is of commit records, in the order they were made, so a commit of many
+    files is never split; the checkpoint is the position, and a batch that comes again
+    has the same commits.
+    """
+
+    def deliver(batch: DataFrame, _: int) -> None:
+        records = [x.asDict(recursive=True) for x in batch.orderBy("n").collect()]  # ``most`` at most
+        if records:
+            sink(changes_of(db, records, prefix).orderBy("n", "seqno", "op"), catalog_changes(records), records[-1]["n"])
+
+    source = db.spark.readStream.schema(db.RECORD).option("maxFilesPerTrigger", most).json(f"{db.path}/commits")
+    writer = source.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 def event_windows(events: DataFrame, ts: str, width: str, late: str, keys: list[str], slide: str | None = None) -> DataFrame:
     """Counts in event-time windows, for streams and batches; streams drop what is later than ``late``."""
     return events.withWatermark(ts, late).groupBy(F.window(ts, width, slide or width), *keys).agg(F.count("*").alias("n"))

@@ -246,3 +246,87 @@ def test_consolidation_in_passes(spark):
     assert len(set(seen)) > 60
     side = [i for x in listed(memory.consolidation_groups(df, "a", 100, groups=2, **options)).values() for i in x]
     assert len(side) == len(set(side)) > 60
+
+
+def test_two_writers_race(spark, tmp_path):
+    """Of two writers that saw the same state one commits first; the other's conflict is found, or its number is the next."""
+    path = str(tmp_path / "db")
+    Database(spark, path).create_table("t", [Family("f")])
+    one, two = Table(Database(spark, path), "t"), Table(Database(spark, path), "t")
+    one.commit(one.batch().put(b"a", "f", b"x", 1))
+    a, b = one.transaction(), two.transaction()
+    a.get(b"a", "f", b"x")
+    b.get(b"a", "f", b"x")
+    a.batch.put(b"a", "f", b"x", 2)
+    b.batch.put(b"a", "f", b"x", 3)
+    raced, publish = [], two.db.publish
+
+    def late(after, **record):
+        if not raced:
+            raced.append(a.commit())  # lands between the other's check and its record
+        return publish(after, **record)
+
+    two.db.publish = late
+    with pytest.raises(Conflict):
+        b.commit()
+    assert raced == [2] and two.get(b"a", "f", b"x").first()["value_i64"] == 2
+    two.db.publish = publish
+    raced.clear()
+    two.db.publish = lambda after, **record: (raced or raced.append(one.commit(one.batch().put(b"b", "f", b"x", 1)))) and publish(after, **record) or publish(after, **record)
+    assert two.commit(two.batch().put(b"c", "f", b"x", 1)) == 4 and raced == [3]
+    assert sorted(x["seqno"] for x in one.log.select("seqno").collect()) == [1, 2, 3, 4]
+
+
+def test_unpublished_entries_are_not_read(table):
+    table.commit(table.batch().put(b"a", "f", b"x", 1))
+    table.db.write("t", table.batch().put(b"b", "f", b"x", 1).frame(table.db.spark, 2, 0))
+    assert table.log.count() == 1 and table.snapshot() == 1
+
+
+def test_commit_over_tables_and_feed(spark, tmp_path):
+    from cellweave.plans.api import commit_all
+    from cellweave.streaming import feed
+
+    db = Database(spark, str(tmp_path / "db"))
+    for name in ("t", "u"):
+        db.create_table(name, [Family("f"), Family("g")])
+    t, u = Table(db, "t"), Table(db, "u")
+    for i in range(3):
+        commit_all(db, {"t": t.batch().put(b"r%d" % i, "f", b"x", i).put(b"r%d" % i, "g", b"y", i), "u": u.batch().put(b"s%d" % i, "g", b"x", i)}, now=10)
+    db.add_family("t", Family("h"))
+    got = []
+
+    def sink(batch, events, n):
+        got.append((n, [(x["n"], x["seqno"], x["table"], x["family"], bytes(x["row"])) for x in batch.collect()], events))
+
+    feed.follow_commits(db, str(tmp_path / "at"), sink, most=1).awaitTermination()
+    assert [n for n, _, _ in got] == [1, 2, 3, 4, 5, 6]
+    assert [len(x) for _, x, _ in got] == [0, 0, 3, 3, 3, 0] and got[5][2] == [(6, "FamilyAdded", "t")]
+    assert sorted(x[2:] for x in got[3][1]) == [("t", "f", b"r1"), ("t", "g", b"r1"), ("u", "g", b"s1")]
+    t = Table(db, "t")
+    t.commit(t.batch().put(b"q", "h", b"z", 5), now=20)
+    got.clear()
+    feed.follow_commits(db, str(tmp_path / "at"), sink).awaitTermination()
+    assert [(n, len(x)) for n, x, _ in got] == [(7, 1)]
+    changed, events, token = feed.after_token(db, 4)
+    assert changed.count() == 4 and token == 7 and events == [(6, "FamilyAdded", "t")]
+    assert feed.after_token(db, token)[0].count() == 0
+
+
+def test_held_snapshots_and_compaction(table):
+    from cellweave.streaming import feed
+
+    for i in range(4):
+        table.commit(table.batch().put(b"a", "f", b"x", i, ts=5).incr(b"a", "c", b"n", 1), now=5)
+        if i == 1:
+            assert table.db.hold("keep") == 2
+    before = table.log.count()
+    assert table.db.compact("t") == 2 and table.log.count() < before
+    assert table.get(b"a", "f", b"x", snapshot=2).first()["value_i64"] == 1 and table.get(b"a", "f", b"x").first()["value_i64"] == 3
+    assert table.changes(2).count() == 4
+    with pytest.raises(feed.FeedExpired):
+        table.changes(1)
+    table.db.release("keep")
+    assert table.db.compact("t") == 4 and table.db.held() == {}
+    assert table.get(b"a", "f", b"x").first()["value_i64"] == 3 and table.get(b"a", "c", b"n").first()["value_i64"] == 4
+    assert len(table.db.folders("t")) == 1
