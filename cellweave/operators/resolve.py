@@ -3,7 +3,8 @@
 Deletes, expiry, base values and merge operands are settled here, before any
 selection. One shuffle on the column (row, family, qualifier) carries all windows
 and groupings of a standard family; family markers, which span a row's columns,
-come by a join that the optimizer broadcasts where they are few.
+come by a join that the optimizer broadcasts where they are few. Aggregate families
+have no windows: what deletes and puts say is joined to the inputs likewise.
 """
 
 from __future__ import annotations
@@ -84,24 +85,29 @@ def live_inputs(cells: DataFrame, families: list[Family], now: int | None = None
     """Inputs of aggregate families that no delete hides, with ``base``: whether they are their version's newest put.
 
     A delete hides only what was committed before it. Every timestamp is a version
-    (a bucket) of its own; inputs older than the version's newest put are gone.
+    (a bucket) of its own; inputs older than the version's newest put are gone. What
+    deletes and puts say of a version is gathered first and joined to the inputs,
+    which are never sorted: a fold of them sums up before its shuffle, so a column
+    that a third of all inputs go to is no single task.
     """
-    names = [f.name for f in families]
-    rows = cells.where(F.col("family").isin(names))
-    markers = rows.where(F.col("kind") == FAMILY_DELETE).groupBy("row", "family").agg(F.collect_list(F.struct("ts", "seqno")).alias("markers"))
-    rows = rows.where(F.col("kind") != FAMILY_DELETE).join(markers, ["row", "family"], "left")
-    newer = _newest().rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    marker = F.array_max(F.transform(F.filter("markers", lambda m: m["ts"] >= F.col("ts")), lambda m: m["seqno"]))
-    hidden = F.greatest(
-        F.max(F.when(F.col("kind") == COLUMN_DELETE, F.col("seqno"))).over(newer),
-        F.max(F.when(F.col("kind") == CELL_DELETE, F.col("seqno"))).over(_version()),
-        marker,
-    )
-    rows = rows.withColumn("hidden", F.coalesce(hidden, F.lit(-1)))
-    rows = rows.where(F.col("kind").isin(PUT, MERGE) & (F.col("seqno") >= F.col("hidden")) & ~_expiry(families, now))
-    rows = rows.withColumn("newest", F.max(F.when(F.col("kind") == PUT, _order())).over(_version()))
-    rows = rows.where(F.col("newest").isNull() | (_order() >= F.col("newest")))
-    return rows.withColumn("base", F.col("kind") == PUT).drop("marker", "markers", "hidden", "newest")
+    version = [*COLUMN, "ts"]
+    rows = cells.where(F.col("family").isin([f.name for f in families]))
+    inputs = rows.where(F.col("kind").isin(PUT, MERGE) & ~_expiry(families, now))
+    versions = inputs.select(*version).distinct()
+
+    def deletes(kind: int, *key: str) -> DataFrame:
+        return rows.where(F.col("kind") == kind).groupBy(*key, F.col("ts").alias("upto")).agg(F.max("seqno").alias("hidden"))
+
+    none = F.lit(None).cast("struct<seqno:bigint,op:int>")
+    said = deletes(CELL_DELETE, *COLUMN).select(*COLUMN, F.col("upto").alias("ts"), "hidden", none.alias("newest"))
+    for kind, key in ((COLUMN_DELETE, COLUMN), (FAMILY_DELETE, ("row", "family"))):
+        met = versions.join(deletes(kind, *key), list(key)).where(F.col("ts") <= F.col("upto"))
+        said = said.unionByName(met.select(*version, "hidden", none.alias("newest")))
+    puts = inputs.where(F.col("kind") == PUT).groupBy(*version).agg(F.max(_order()).alias("newest"))
+    said = said.unionByName(puts.select(*version, F.lit(None).cast("bigint").alias("hidden"), "newest"))
+    said = said.groupBy(*version).agg(F.max("hidden").alias("hidden"), F.max("newest").alias("newest"))
+    out = inputs.join(said, version, "left").where((F.col("seqno") >= F.coalesce("hidden", F.lit(-1))) & (F.col("newest").isNull() | (_order() >= F.col("newest"))))
+    return out.withColumn("base", F.col("kind") == PUT).drop("hidden", "newest")
 
 
 #: Fold of an integer kind over value_i64.

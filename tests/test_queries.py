@@ -104,3 +104,9 @@ assert e.entry(spark).count() > 0
 """
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_counters_sum_before_the_shuffle(spark, sf):
+    """Operands of a column are summed where they are read; no window sorts them."""
+    said = plan_of(select(encode.hits(spark, sf), encode.HITS, Read(versions=0)))
+    assert "Window" not in said and "partial_sum" in said
