@@ -1,10 +1,11 @@
 """Quality rules, line dedup and URL filter: SQL, brute force, planted cases, odd rows."""
 
-import random
 import re
 from collections import Counter
+from math import log
 
 import pytest
+import regex
 from checks import same_rows, tables
 from pyspark.sql import functions as F
 
@@ -194,6 +195,47 @@ def test_query_covers_all_pages(spark, sf):
     assert all(x["verdict"] == "allow" for x in rows if x["rule"] is None and re.search(r"\bth", x["host"]))
 
 
+def judged_plainly(rows, every=None):
+    """Scores of (url, html) rows by plain Python: Viterbi over all words' counts, naive Bayes over all urls."""
+    shown = [regex.sub(r"<(script|style)[^>]*>[\s\S]*?</\1>|<[^>]*>", " ", (html or "").lower()) for _, html in rows]
+    segmenter = every or urls.Segmenter(Counter(w for x in shown for w in regex.findall(r"\p{L}+", x) if len(w) <= urls.LONGEST_WORD))
+    found = []
+    for url, _ in rows:
+        rest = (url or "").split("://", 1)[1] if "://" in (url or "") else ""
+        host = regex.match(r"[^/?#]*", rest)[0]
+        path = regex.match(r"[^?#]*", rest[len(host) :])[0]
+        host = regex.sub("[A-Z]", lambda m: m[0].lower(), host)
+        found.append([k + w for k, x in (("h:", host), ("p:", path.lower())) for name in regex.findall(r"\p{L}+", x) for w in segmenter.words(name)])
+    labels = [any(t[2:] in urls.SEEDS for t in x) for x in found]
+    counts = {c: Counter(t for x, label in zip(found, labels, strict=True) if label == c for t in x) for c in (False, True)}
+    more = urls.SMOOTHING * (len(counts[False].keys() | counts[True].keys()) + 1)
+    n = {c: sum(counts[c].values()) + more for c in counts}
+    weight = {t: log((counts[True][t] + urls.SMOOTHING) / n[True]) - log((counts[False][t] + urls.SMOOTHING) / n[False]) for t in counts[False].keys() | counts[True].keys()}
+    prior = log((sum(labels) + 1) / (len(labels) - sum(labels) + 1))
+    return [prior + sum(weight[t] for t in x) for x in found]
+
+
+def test_query_against_plain_python(spark, sf):
+    """Every row of the query: host, path and rule by SQL, the verdict by brute force."""
+    same_rows(op6_url_filter(spark, sf).drop("verdict"), urls.RULES_SQL, tables(sf))
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    scores = dict(zip((x["page_id"] for x in pages), judged_plainly([(x["url"], x["html"]) for x in pages]), strict=True))
+    rules = {at + under: verdict for verdict, at, under in urls.RULES}
+    for x in urls.judge(spark.read.parquet(f"{sf}/pages.parquet")).collect():
+        assert x["score"] == pytest.approx(scores[x["page_id"]], abs=1e-6)
+        assert x["verdict"] == (rules[x["rule"]] if x["rule"] else "block" if scores[x["page_id"]] > 0 else "allow")
+
+
+def test_odd_urls(spark):
+    """Null, empty, repeated, non-Latin and very long urls, against plain Python; the long name is split whole."""
+    long = "http://" + "casinothe" * 12_000 + ".example.com/" + "x" * 30_000
+    rows = [(1, long, None), (2, None, "the win"), (2, None, None), (3, "", ""), (4, "http://ÉCOLE.example.com/ÉTÉ/の本/x1y2?q", "école été the"), (4, "http://ÉCOLE.example.com/ÉTÉ/の本/x1y2?q", "école"), (5, "http://a.b/the", "<p>the</p><script>b b</script>")]
+    rows += [(6 + i, f"http://shared.example.com/page/{i}", "page shared") for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "1 AS row", "'k' AS key", "2 AS n", "true AS bad", "'t' AS token").repartition(4)
+    got = sorted((x["page_id"], round(x["score"], 4)) for x in urls.judge(df).collect())
+    assert got == sorted((x[0], round(s, 4)) for x, s in zip(rows, judged_plainly([x[1:] for x in rows]), strict=True))
+
+
 def test_rare_words_count(spark):
     """Words seen once split names however many other words there are: the scores are those of a model of all words."""
     rare = [a + b + c + d for a in "bcdfghjklmnpqrstvwxz" for b in "aeiouy" for c in "bcdfghjklmnpqrstvwxz" for d in ("an", "el", "il", "on", "ur", "ash", "esk", "imp", "orn", "ulf")]
@@ -204,38 +246,37 @@ def test_rare_words_count(spark):
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(2)
     every = urls.Segmenter(Counter(" ".join(x[2] or "" for x in rows).split()))
     assert every.words("quixoticzephyr") == ("quixotic", "zephyr")
-    host, path = urls.host_path(F.col("url"))
-    own = df.select(host.alias("host"), path.alias("path"))
-    counts, total = urls.unigrams(df, own)
-    assert counts["quixotic"] == counts["zephyr"] == 1 and total == len(rare) + 7 and len(counts) < 100
-    model = urls.train(own, every)
-    assert all(x["score"] == pytest.approx(model.score(every.tokens(x["host"], x["path"])), abs=1e-9) for x in urls.judge(df).collect())
-
-
-def test_bayes_counts(spark):
-    """The distributed counts are those of plain Python."""
-    segmenter = urls.Segmenter({"cheap": 9, "pills": 9, "good": 9, "news": 9})
-    rows = [("cheappills.com", "/a"), ("goodnews.com", "/b/c"), ("goodnews.com", ""), ("", "")] * 7
-    got = urls.train(spark.createDataFrame(rows, "host string, path string").repartition(3), segmenter)
-    counts, labels = Counter(), Counter()
-    for host, path in rows:
-        tokens = segmenter.tokens(host, path)
-        label = any(t[2:] in urls.SEEDS for t in tokens)
-        labels[label] += 1
-        counts.update((label, urls._feature(t)) for t in tokens)
-    want = urls.Bayes(dict(counts), dict(labels))
-    assert (got.prior, got.base, got.weight) == (want.prior, want.base, want.weight)
+    counts, total = urls.unigrams(df)
+    assert total == len(rare) + 7 and counts.where("word = 'zephyr'").first()["count"] == 1
+    scores = judged_plainly([x[1:] for x in rows], every)
+    assert all(x["score"] == pytest.approx(scores[x["page_id"]], abs=1e-6) for x in urls.judge(df).collect())
+
+
+def test_many_tokens_stay_apart(spark):
+    """More distinct words than 65,536: each keeps a weight of its own."""
+    rows = [(i, f"http://example.com/{''.join(chr(97 + i // 26**k % 26) for k in range(4))}q", None) for i in range(70_000)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(4)
+    own = urls._urls(df, "page_id", "url")
+    words = df.selectExpr("regexp_extract(url, '([a-z]+)$', 1) AS word", "1L AS count")
+    segmented = urls.segment(own, words, 70_000)
+    weights, _ = urls.weigh(urls.labelled(own, segmented), segmented)
+    assert weights.where("token like 'p:%'").count() >= 70_000
 
 
 def test_held_out_accuracy(spark):
-    """Trained on one half of the urls, the classifier finds the blocked ones of the other through words that aren't seeds."""
-    spam = [(f"www.{a}{b}.example.com", f"/{c}/") for a in ("cheap", "easy", "super") for b in ("pills", "casino") for c in ("win", "bonus", "deal", "offer")]
-    clean = [(f"www.{a}{b}.example.com", f"/{c}/") for a in ("north", "river", "stone") for b in ("school", "museum") for c in ("visit", "history", "music", "staff")]
-    for x in (spam, clean):
-        random.Random(1).shuffle(x)  # both halves hold every word
-    words = "cheap easy super pills casino north river stone school museum shop".split()
-    segmenter = urls.Segmenter(dict.fromkeys(words, 50))
-    model = urls.train(spark.createDataFrame((spam[::2] + clean[::2]) * 5, "host string, path string"), segmenter)
-    hidden = [(h.replace("pills", "shop").replace("casino", "shop"), p) for h, p in spam[1::2]]
-    found = sum(model.score(segmenter.tokens(h, p)) > 0 for h, p in hidden) + sum(model.score(segmenter.tokens(h, p)) <= 0 for h, p in clean[1::2])
-    assert found / (len(hidden) + len(clean[1::2])) >= 0.9
+    """Trained on one half of the hosts, the classifier finds the blocked urls of the other through words that aren't seeds."""
+    spam = [f"http://www.{a}{b}{i}.example.com/{c}/" for a in ("cheap", "easy", "super") for b in ("pills", "casino") for c in ("win", "bonus", "deal", "offer") for i in range(3)]
+    clean = [f"http://www.{a}{b}{i}.example.com/{c}/" for a in ("north", "river", "stone") for b in ("school", "museum") for c in ("visit", "history", "music", "staff") for i in range(3)]
+    words = "cheap easy super pills casino north river stone school museum win bonus deal offer visit history music staff " * 20
+    df = spark.createDataFrame([(i, u, words) for i, u in enumerate(spam + clean)], "page_id bigint, url string, html string")
+    n = {(x["bad"], x["blocked"]): x["n"] for x in urls.held_out(df).collect()}
+    assert (n.get((True, True), 0) + n.get((False, False), 0)) / sum(n.values()) >= 0.9
+    assert n.get((True, True), 0) > 10 and n.get((False, False), 0) > 10
+
+
+def test_held_out_pages(spark):
+    """On the pages' own urls, in halves by url: clean ones are left alone, and marked ones found without their seed words where they have others."""
+    n = {(x["bad"], x["blocked"]): x["n"] for x in urls.held_out(spark.read.parquet("/root/testdata/sf0.1/pages.parquet"), split=("host", "path")).collect()}
+    print(n)
+    assert n.get((False, True), 0) <= 0.02 * (n.get((False, True), 0) + n.get((False, False), 0))
+    assert n.get((True, True), 0) >= 0.7 * (n.get((True, True), 0) + n.get((True, False), 0))
