@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import os
 import shutil
 import tempfile
@@ -106,8 +107,19 @@ def list_files(uri: str) -> list[str]:
     return [f"{uri}/{x.base_name}" for x in found if x.type == pafs.FileType.File]
 
 
+def release() -> None:
+    """Memory that this process has freed goes back to the system, so that workers that wait hold little."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other systems' C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts of at most ``rows`` rows, and ``most`` bytes of text where a cut has two rows or more."""
+    """Cuts of at most ``rows`` rows, and ``most`` bytes of text where a cut has two rows or more.
+
+    What the worker has freed goes back to the system every BATCH_BYTES, and at the end.
+    """
+    freed = 0
     for batch in batches:
         sizes = np.zeros(batch.num_rows, np.int64)
         for x in batch.columns:
@@ -118,7 +130,12 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE, most: int = SLI
             full = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right"))
             to = min(batch.num_rows, at + rows, max(at + 1, full))
             yield batch.slice(at, to - at)
+            if ends[to - 1] - freed >= BATCH_BYTES:
+                freed = ends[to - 1]
+                release()
             at = to
+        freed -= ends[-1] if batch.num_rows else 0
+    release()
 
 
 def texts(column: pa.Array) -> list[str]:

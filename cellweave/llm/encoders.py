@@ -368,15 +368,15 @@ class PieceCounter:
         return out
 
 
-_BYTE_BPE: dict[str, ByteBpe] = {}
+_BYTE_BPE: dict[tuple[str, int], ByteBpe] = {}
 _PIECES: dict[str, PieceCounter] = {}
 
 
-def byte_bpe(model: str) -> ByteBpe:
-    """One per worker process, kept between tasks."""
-    if model not in _BYTE_BPE:
-        _BYTE_BPE[model] = ByteBpe(model)
-    return _BYTE_BPE[model]
+def byte_bpe(model: str, entries: int = WORDS) -> ByteBpe:
+    """One per worker process, kept between tasks. ``entries``: words it remembers."""
+    if (model, entries) not in _BYTE_BPE:
+        _BYTE_BPE[model, entries] = ByteBpe(model, entries)
+    return _BYTE_BPE[model, entries]
 
 
 def piece_counter(model: str) -> PieceCounter:

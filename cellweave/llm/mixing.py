@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import OWN, staged
+from .common import OWN, release, staged
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -229,6 +229,7 @@ def draw(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_c
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
+        release()
         return pd.Series([x if y is None else _cut(x, y) for x, y in zip(text, spans, strict=True)], dtype="object")
 
     spans = _own("spans")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BATCH_BYTES, slices, staged
-from .encoders import byte_bpe
+from .encoders import WORDS, byte_bpe
 
 MODEL = "byte_bpe_50k.json"
 END_ID = 0
@@ -45,12 +45,12 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = "row long, length long, bin long, offset long, open boolean"
 
 
-def cut_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, end_id: int = END_ID, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """The pieces of each document; ``with_ids`` adds their ids as an array."""
+def cut_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, end_id: int = END_ID, capacity: int = CAPACITY, with_ids: bool = False, words: int = WORDS, at_once: int = BATCH_BYTES) -> DataFrame:
+    """The pieces of each document; ``with_ids`` adds their ids as an array. A worker remembers ``words`` words and encodes texts of ``at_once`` bytes together: fewer take less memory and more time."""
 
     def run(batches):
-        encoder = byte_bpe(model)
-        for batch in slices(batches, BATCH_ROWS, BATCH_BYTES):
+        encoder = byte_bpe(model, words)
+        for batch in slices(batches, BATCH_ROWS, at_once):
             out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids)}
             ids, ends = encoder.encode_ended(batch.column(1), end_id)
             for doc, begin, end in zip(batch.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
@@ -167,9 +167,9 @@ def pack(rows: DataFrame, n_rows: int, capacity: int = CAPACITY, part_rows: int
     return out
 
 
-def pack_documents(df: DataFrame, model: str = MODEL, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
-    """Per piece doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    cut = cut_tokens(df, model=model, end_id=end_id, capacity=capacity)
+def pack_documents(df: DataFrame, model: str = MODEL, end_id: int = END_ID, capacity: int = CAPACITY, words: int = WORDS, at_once: int = BATCH_BYTES) -> DataFrame:
+    """Per piece doc_id, piece, start, length, ids_crc32, sequence_id, offset; ``words`` and ``at_once`` as in cut_tokens."""
+    cut = cut_tokens(df, model=model, end_id=end_id, capacity=capacity, words=words, at_once=at_once)
     # Numbers are drawn once, before the table is written; rereading keeps them.
     cut = staged(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")
     whole = cut.where(F.col("length") == capacity)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import OWN, slices, staged, texts
+from .common import OWN, release, slices, staged, texts
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -147,6 +147,7 @@ def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, gone: pd.Series) -> pd.Series:
+        release()
         return pd.Series([None if x is None else without_lines(x, set(y.tolist())) for x, y in zip(text, gone, strict=True)], dtype=object)
 
     out = keyed.join(found, [a, b, host], "left").where(F.coalesce(kept, F.lit(True)))

@@ -27,6 +27,10 @@ from cellweave.llm.common import documents, staged
 from cellweave.plans.ship import ship
 
 
+#: Words that a worker of the last stage remembers, and bytes of texts it encodes together: its executor still holds what the stages before it took.
+PACKING_WORDS, PACKING_BYTES = 100_000, 2 << 20
+
+
 def _counted(docs: DataFrame) -> DataFrame:
     """``n_chars`` set anew, where the table has it."""
     if "n_chars" not in docs.columns:
@@ -59,7 +63,7 @@ def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, words=PACKING_WORDS, at_once=PACKING_BYTES)
 
 
 STAGES = [
