@@ -1,14 +1,17 @@
 """Full-text search: tokens, inverted index, BM25, phrases, fuzzy terms, highlights.
 
-The index is three tables (documents with lengths, postings with positions, terms
-with document counts). A query is parsed on the driver; each clause becomes rows
-(document, score) and a document's score is their sum, so ranking is one grouped
-sum and the engine's top-k. Only what a query touches is read: terms are pushed
-down as predicates.
+The index is two tables (documents with lengths, postings with positions). A query
+is parsed on the driver, its statistics (a count for each of its terms, 50 expansions
+of a fuzzy term at most) are read first; each clause then becomes rows (document,
+score) and a document's score is their sum, so ranking is one grouped sum and the
+engine's top-k. Only what a query touches is read: terms are pushed down as
+predicates. A collection in several indexes is ranked as one: ``Statistics.merged``
+of all, then each index's search with them.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
 from math import log
 
@@ -17,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.words import auto_edits, damerau, phrase_count, sloppy_frequency, snippet, words
+from ..functions.words import auto_edits, damerau, found_clauses, phrase_count, sloppy_frequency, snippet, words
 from ..plans.tables import cut_lineage
 
 K1, B = 1.2, 0.75
@@ -47,6 +50,45 @@ class Fuzzy:
     edits: int | None = None
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """What a search ranks with: documents, their lengths summed, documents of each term, and of each fuzzy word its edits and expansions (term, distance, documents)."""
+
+    docs: int
+    length: int
+    terms: dict[str, int]
+    near: dict[str, tuple[int, list[tuple[str, int, int]]]]
+    #: Fuzzy words that have more expansions than are held.
+    cut: frozenset[str] = frozenset()
+
+    @staticmethod
+    def merged(parts: list[Statistics]) -> Statistics:
+        """Those of all parts together. A part that cut a word's expansions can miss some that one index would hold."""
+        if not parts:
+            raise ValueError("no statistics to merge")
+        terms, near, cut = dict.fromkeys(parts[0].terms, 0), {w: (e, {}) for w, (e, _) in parts[0].near.items()}, set()
+        for x in parts:
+            if x.terms.keys() != terms.keys() or {w: e for w, (e, _) in x.near.items()} != {w: e for w, (e, _) in near.items()}:
+                raise ValueError("statistics of another query")
+            for t, n in x.terms.items():
+                terms[t] += n
+            for w, (_, found) in x.near.items():
+                for t, d, n in found:
+                    near[w][1][t] = d, n + near[w][1].get(t, (d, 0))[1]
+            cut |= x.cut
+        ranked = {w: (e, _nearest((t, *x) for t, x in by.items())) for w, (e, by) in near.items()}
+        cut |= {w for w, (_, found) in ranked.items() if len(found) > EXPANSIONS}
+        return Statistics(sum(x.docs for x in parts), sum(x.length for x in parts), terms, {w: (e, found[:EXPANSIONS]) for w, (e, found) in ranked.items()}, frozenset(cut))
+
+    def idf(self, df: int) -> float:
+        return log(1 + (self.docs - df + 0.5) / (df + 0.5))
+
+
+def _nearest(found) -> list[tuple[str, int, int]]:
+    """Nearest first, then the most common, then by term's bytes."""
+    return sorted(found, key=lambda x: (x[1], -x[2], x[0].encode()))
+
+
 def parse(query: str) -> list[Term | Phrase | Fuzzy]:
     """Distinct clauses: words, "phrases", "phrases"~slop, word~, word~1, word~2; a backslash takes the next character as it is."""
     out, i, n = [], 0, len(query)
@@ -124,11 +166,11 @@ def tokenize(df: DataFrame, id_col: str, text_col: str, stop_words: bool = False
 
 
 class Index:
-    """``docs``: id, len. ``postings``: id, term, tf, positions. ``terms``: term, df."""
+    """``docs``: id, len. ``postings``: id, term, tf, positions. Queries are read by the tokenizer and form of the texts."""
 
-    def __init__(self, docs: DataFrame, postings: DataFrame, stop_words: bool = False, k1: float = K1, b: float = B):
-        self.docs, self.postings, self.stop_words, self.k1, self.b = docs, postings, stop_words, k1, b
-        self._stats: tuple | None = None
+    def __init__(self, docs: DataFrame, postings: DataFrame, stop_words: bool = False, k1: float = K1, b: float = B, form: str | None = "NFC", tokenizer=None):
+        self.docs, self.postings, self.stop_words, self.k1, self.b, self.form, self.tokenizer = docs, postings, stop_words, k1, b, form, tokenizer
+        self._size: tuple | None = None
 
     @classmethod
     def build(cls, df: DataFrame, id_col: str, text_col: str, stop_words: bool = False, form: str | None = "NFC", tokenizer=None, **options) -> Index:
@@ -136,49 +178,75 @@ class Index:
         tokens = tokenize(df, id_col, text_col, stop_words, form, tokenizer)
         postings = cut_lineage(tokens.groupBy("id", "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions")).sortWithinPartitions("term"))
         docs = cut_lineage(df.select(F.col(id_col).alias("id")).distinct().join(postings.groupBy("id").agg(F.sum("tf").alias("len")), "id", "left").select("id", F.coalesce("len", F.lit(0)).alias("len")))
-        return cls(docs, postings, stop_words, **options)
+        return cls(docs, postings, stop_words, form=form, tokenizer=tokenizer, **options)
+
+    def _like(self, docs: DataFrame, postings: DataFrame) -> Index:
+        return Index(docs, postings, self.stop_words, self.k1, self.b, self.form, self.tokenizer)
+
+    def words(self, text: str) -> list[tuple[str, int, int, int]]:
+        return self.tokenizer(text) if self.tokenizer else words(text, self.stop_words, self.form)
 
     def terms(self) -> DataFrame:
         return self.postings.groupBy("term").agg(F.count("*").alias("df"))
 
-    def stats(self) -> tuple[int, float]:
-        """Documents, mean length."""
-        if self._stats is None:
-            n, total = self.docs.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
-            self._stats = n, total / n if n else 0.0
-        return self._stats
+    def _wants(self, query: str | list) -> list[tuple]:
+        """Clause number, terms (of a fuzzy clause its word), offsets (None: terms by themselves), slop, edits (None: not fuzzy)."""
+        out = []
+        for i, c in enumerate(parse(query) if isinstance(query, str) else dict.fromkeys(query)):
+            own = self.words(c.text)
+            if isinstance(c, Fuzzy):
+                word = own[0][0] if own else ""
+                out.append((i, [word], None, 0, auto_edits(word) if c.edits is None else c.edits))
+            elif isinstance(c, Phrase) and len(own) > 1:
+                out.append((i, [x[0] for x in own], [x[1] - own[0][1] for x in own], c.slop, None))
+            elif own:
+                out.append((i, list(dict.fromkeys(x[0] for x in own)), None, 0, None))
+        return out
+
+    def statistics(self, query: str | list) -> Statistics:
+        """Of the query's terms alone: one row for each reaches the driver, EXPANSIONS + 1 for a fuzzy word."""
+        if self._size is None:
+            self._size = tuple(self.docs.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first())
+        wants = self._wants(query)
+        terms = dict.fromkeys((t for _, own, _, _, edits in wants if edits is None for t in own), 0)
+        if terms:
+            terms |= {x["term"]: x["df"] for x in self.terms().where(F.col("term").isin(list(terms))).collect()}
+        near = {f"{own[0]}~{edits}": (edits, self._near(own[0], edits)) for _, own, _, _, edits in wants if edits is not None}
+        cut = frozenset(w for w, (_, found) in near.items() if len(found) > EXPANSIONS)
+        return Statistics(*self._size, terms, {w: (e, found[:EXPANSIONS]) for w, (e, found) in near.items()}, cut)
+
+    def _near(self, word: str, edits: int) -> list[tuple[str, int, int]]:
+        """Dictionary terms within ``edits`` of ``word``, one more than EXPANSIONS at most."""
+        # An adjacent swap is one edit here and two to the engine's function, which leaves Python few terms.
+        near = self.terms().where(F.length("term").between(len(word) - edits, len(word) + edits) & (F.levenshtein("term", F.lit(word)) <= 2 * edits))
+
+        @F.pandas_udf("int")
+        def far(found: pd.Series) -> pd.Series:
+            return found.map(lambda x: damerau(word, x, edits)).astype("int32")
 
-    def _idf(self, df: Column) -> Column:
-        n = float(self.stats()[0])
-        return F.log(1 + (n - df + 0.5) / (df + 0.5))
+        rows = near.withColumn("d", far("term")).where(F.col("d") <= edits).orderBy("d", F.desc("df"), "term").limit(EXPANSIONS + 1).collect()
+        return [(x["term"], x["d"], x["df"]) for x in rows]
 
-    def _tf(self, tf: Column, length: Column) -> Column:
-        mean = self.stats()[1] or 1.0
+    def expansions(self, fuzzy: Fuzzy) -> list[tuple[str, int, float]]:
+        """term, df, boost of up to 50 dictionary terms: nearest first, then most common, then by term."""
+        (_, (word,), _, _, edits), *_ = self._wants([fuzzy])
+        return [(t, n, _boost(word, t, d)) for t, d, n in self._near(word, edits)[:EXPANSIONS]]
+
+    def _tf(self, tf: Column, length: Column, of: Statistics) -> Column:
+        mean = of.length / of.docs if of.docs and of.length else 1.0
         return tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * length / mean))
 
-    def term_scores(self, terms: list[str]) -> DataFrame:
-        """id, clause, score of each term that a document has."""
-        own = self.postings.where(F.col("term").isin(terms))
-        # At most one row for each query term.
-        dfs = F.broadcast(own.groupBy("term").agg(F.count("*").alias("df")))
-        scored = own.join(dfs, "term").join(self.docs, "id")
-        return scored.select("id", F.col("term").alias("clause"), (self._idf(F.col("df")) * self._tf(F.col("tf"), F.col("len"))).alias("score"))
-
-    def phrase_scores(self, phrase: Phrase) -> DataFrame:
-        """id, clause, score: a pseudo-term whose idf is the sum of its terms' and whose frequency counts matches."""
-        own = words(phrase.text, self.stop_words)
-        if not own:
-            return self.term_scores([]).limit(0)
-        terms, offsets = [x[0] for x in own], [x[1] - own[0][1] for x in own]
+    def _weighed(self, weights: dict[str, float], of: Statistics) -> DataFrame:
+        """id, term, score of each of these terms that a document has."""
+        own = self.postings.where(F.col("term").isin(list(weights))).join(self.docs, "id")
+        weight = F.element_at(F.create_map(*[F.lit(x) for t, w in weights.items() for x in (t, float(w))]), F.col("term")) if weights else F.lit(0.0)
+        return own.select("id", "term", (weight * self._tf(F.col("tf"), F.col("len"), of)).alias("score"))
+
+    def phrase_scores(self, terms: list[str], offsets: list[int], slop: int, of: Statistics) -> DataFrame:
+        """id, score: a pseudo-term whose idf is the sum of its terms' and whose frequency counts matches."""
         distinct = list(dict.fromkeys(terms))
         held = self.postings.where(F.col("term").isin(distinct))
-        dfs = {x["term"]: x["df"] for x in held.groupBy("term").agg(F.count("*").alias("df")).collect()}
-        if len(dfs) < len(distinct):
-            return self.term_scores([]).limit(0)
-        n = self.stats()[0]
-        idf = sum(log(1 + (n - dfs[t] + 0.5) / (dfs[t] + 0.5)) for t in terms)
         joined = held.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("by")).where(F.size("by") == len(distinct))
-        slop = phrase.slop
 
         @F.pandas_udf("double")
         def frequency(by: pd.Series) -> pd.Series:
@@ -189,56 +257,35 @@ class Index:
             return by.map(one).astype(float)
 
         found = joined.select("id", frequency("by").alias("tf")).where("tf > 0").join(self.docs, "id")
-        return found.select("id", F.lit(f'"{phrase.text}"~{slop}').alias("clause"), (F.lit(idf) * self._tf(F.col("tf"), F.col("len"))).alias("score"))
-
-    def expansions(self, fuzzy: Fuzzy) -> list[tuple[str, int, float]]:
-        """term, df, boost of up to 50 dictionary terms: nearest first, then most common, then by term."""
-        own = words(fuzzy.text, self.stop_words)
-        term = own[0][0] if own else ""
-        edits = auto_edits(term) if fuzzy.edits is None else fuzzy.edits
-        near = self.terms().where(F.length("term").between(len(term) - edits, len(term) + edits))
-
-        @F.pandas_udf("int")
-        def far(found: pd.Series) -> pd.Series:
-            return found.map(lambda x: damerau(term, x, edits)).astype("int32")
-
-        rows = near.withColumn("d", far("term")).where(F.col("d") <= edits).orderBy("d", F.desc("df"), "term").limit(EXPANSIONS).collect()
-        return [(x["term"], x["df"], 1 - x["d"] / max(1, min(len(term), len(x["term"])))) for x in rows]
-
-    def fuzzy_scores(self, fuzzy: Fuzzy) -> DataFrame:
-        """id, clause, score: the best expansion of each document; all score with the largest df among them."""
-        found = self.expansions(fuzzy)
-        if not found:
-            return self.term_scores([]).limit(0)
-        df = max(x[1] for x in found)
-        boosts = F.create_map(*[F.lit(x) for t, _, b in found for x in (t, b)])
-        own = self.postings.where(F.col("term").isin([t for t, _, _ in found])).join(self.docs, "id")
-        score = self._idf(F.lit(float(df))) * self._tf(F.col("tf"), F.col("len")) * F.element_at(boosts, F.col("term"))
-        return own.groupBy("id").agg(F.max(score).alias("score")).select("id", F.lit(f"{fuzzy.text}~").alias("clause"), "score")
-
-    def scores(self, query: str | list) -> DataFrame:
-        """id, clause, score of every clause that matches."""
-        clauses = parse(query) if isinstance(query, str) else query
-        terms, parts = [], []
-        for c in clauses:
-            if isinstance(c, Term):
-                terms += [x[0] for x in words(c.text, self.stop_words)]
-            elif isinstance(c, Phrase):
-                own = words(c.text, self.stop_words)
-                if len(own) == 1:
-                    terms.append(own[0][0])
-                elif own:
-                    parts.append(self.phrase_scores(c))
-            else:
-                parts.append(self.fuzzy_scores(c))
-        out = self.term_scores(list(dict.fromkeys(terms)))
-        for x in parts:
-            out = out.unionByName(x)
+        idf = float(sum(of.idf(of.terms[t]) for t in terms))
+        return found.select("id", (F.lit(idf) * self._tf(F.col("tf"), F.col("len"), of)).alias("score"))
+
+    def scores(self, query: str | list, statistics: Statistics | None = None) -> DataFrame:
+        """id, clause (a term, or the clause's number), score of every clause that matches.
+
+        A fuzzy clause gives a document its best expansion; all of them score with the
+        largest count among them.
+        """
+        of, wants = statistics or self.statistics(query), self._wants(query)
+        try:
+            single = {t: of.idf(of.terms[t]) for _, terms, offsets, _, edits in wants if offsets is None and edits is None for t in terms}
+            out = self._weighed(single, of).select("id", F.col("term").alias("clause"), "score")
+            for i, terms, offsets, slop, edits in wants:
+                if offsets is not None and all(of.terms[t] for t in terms):
+                    own = self.phrase_scores(terms, offsets, slop, of)
+                elif edits is not None and (found := of.near[f"{terms[0]}~{edits}"][1]):
+                    idf = of.idf(max(n for _, _, n in found))
+                    own = self._weighed({t: idf * _boost(terms[0], t, d) for t, d, _ in found}, of).groupBy("id").agg(F.max("score").alias("score"))
+                else:
+                    continue
+                out = out.unionByName(own.select("id", F.lit(f"#{i}").alias("clause"), "score"))
+        except KeyError as e:
+            raise ValueError("statistics of another query") from e
         return out
 
-    def search(self, query: str | list, k: int, keep: Column | None = None, live: DataFrame | None = None) -> DataFrame:
-        """id, score of the k best, by (score, id). ``keep``: which ids may be hits, statistics unchanged; ``live``: id, documents that still exist."""
-        found = self.scores(query)
+    def search(self, query: str | list, k: int, keep: Column | None = None, live: DataFrame | None = None, statistics: Statistics | None = None) -> DataFrame:
+        """id, score of the k best, by (score, id). ``keep``: which ids may be hits, statistics unchanged; ``live``: id, documents that still exist; ``statistics``: of the whole collection, where this index is a part."""
+        found = self.scores(query, statistics)
         if keep is not None:
             found = found.where(keep)
         found = found.groupBy("id").agg(F.sum("score").alias("score"))
@@ -246,34 +293,51 @@ class Index:
             found = found.join(live.select("id"), "id", "left_semi")
         return found.orderBy(F.desc("score"), "id").limit(k)
 
+    def highlight(self, hits: DataFrame, text_col: str, query: str | list, most: int = 160, statistics: Statistics | None = None) -> DataFrame:
+        """``hits`` with matches (start, end: bytes of the text; clause: its number in the query; occurrence) of words, phrases and fuzzy words, and snippet."""
+        wants = self._wants(query)
+        near = (statistics or self.statistics(query)).near if any(x[4] is not None for x in wants) else {}
+        each = [(i, terms if edits is None else [t for t, _, _ in near[f"{terms[0]}~{edits}"][1]], offsets, slop) for i, terms, offsets, slop, edits in wants]
+        return _marked(hits, text_col, each, most, self.stop_words, self.form, self.tokenizer)
+
     def verify(self, df: DataFrame, id_col: str, text_col: str) -> dict:
         """Postings that the texts don't have, and those that the index lacks."""
-        own = tokenize(df, id_col, text_col, self.stop_words).groupBy("id", "term").agg(F.count("*").alias("tf"))
+        own = tokenize(df, id_col, text_col, self.stop_words, self.form, self.tokenizer).groupBy("id", "term").agg(F.count("*").alias("tf"))
         key = ["id", "term", "tf"]
         return {"missing": own.join(self.postings, key, "left_anti").count(), "stale": self.postings.join(own, key, "left_anti").count()}
 
     def without(self, ids: DataFrame) -> Index:
         """The index after the documents in ``ids`` (id) are deleted."""
-        return Index(self.docs.join(ids, "id", "left_anti"), self.postings.join(ids, "id", "left_anti"), self.stop_words, self.k1, self.b)
+        return self._like(self.docs.join(ids, "id", "left_anti"), self.postings.join(ids, "id", "left_anti"))
 
     def with_documents(self, df: DataFrame, id_col: str, text_col: str) -> Index:
         """The index after documents are put: they replace those with their ids."""
-        own = Index.build(df, id_col, text_col, self.stop_words)
+        own = Index.build(df, id_col, text_col, self.stop_words, self.form, self.tokenizer)
         rest = self.without(own.docs.select("id"))
-        return Index(cut_lineage(rest.docs.unionByName(own.docs)), cut_lineage(rest.postings.unionByName(own.postings)), self.stop_words, self.k1, self.b)
+        return self._like(cut_lineage(rest.docs.unionByName(own.docs)), cut_lineage(rest.postings.unionByName(own.postings)))
 
 
-def highlight(hits: DataFrame, text_col: str, terms: list[str], most: int = 160, stop_words: bool = False) -> DataFrame:
-    """``hits`` with matches (start, end, clause: the term's place in ``terms``) and snippet."""
-    want = {t: i for i, t in enumerate(terms)}
+def _boost(word: str, term: str, distance: int) -> float:
+    return 1 - distance / max(1, min(len(word), len(term)))
 
-    @F.pandas_udf("matches array<struct<start:int,end:int,clause:int>>, snippet string")
+
+def _marked(hits: DataFrame, text_col: str, wants: list[tuple], most: int, stop_words: bool, form: str | None, tokenizer) -> DataFrame:
+    @F.pandas_udf("matches array<struct<start:int,end:int,clause:int,occurrence:int>>, snippet string")
     def mark(texts: pd.Series) -> pd.DataFrame:
         out = []
         for text in texts:
-            found = [(a, b, want[t]) for t, _, a, b in words(text or "", stop_words, None) if t in want]
-            a, b = snippet(text or "", found, most)
-            out.append(([{"start": x, "end": y, "clause": c} for x, y, c in found], (text or "").encode()[a:b].decode()))
+            text = text or ""
+            # Places are bytes of the text as it is; a term's form is the index's.
+            own = tokenizer(text) if tokenizer else [(unicodedata.normalize(form, t) if form else t, *x) for t, *x in words(text, stop_words, None)]
+            found = found_clauses(own, wants)
+            a, b = snippet(text, [x[:3] for x in found], most)
+            out.append(([dict(zip(("start", "end", "clause", "occurrence"), x, strict=True)) for x in found], text.encode()[a:b].decode()))
         return pd.DataFrame(out, columns=["matches", "snippet"])
 
-    return hits.withColumn("o", mark(text_col)).select(*hits.columns, "o.matches", "o.snippet")
+    own = "__marked"
+    return hits.withColumn(own, mark(F.col(text_col).cast("string"))).select(*[F.col(f"`{x}`") for x in hits.columns], f"{own}.matches", f"{own}.snippet")
+
+
+def highlight(hits: DataFrame, text_col: str, terms: list[str], most: int = 160, stop_words: bool = False) -> DataFrame:
+    """``hits`` with matches (start, end, clause: the term's place in ``terms``, occurrence) and snippet; without an index."""
+    return _marked(hits, text_col, [(i, [t], None, 0) for i, t in enumerate(terms)], most, stop_words, "NFC", None)

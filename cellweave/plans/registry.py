@@ -792,6 +792,29 @@ def snippets(spark, d):
     return highlight(hits, "text", ["the", "thing"], 80).select("id", F.size("matches").alias("n_matches"), "snippet")
 
 
+@query(f"""{_TEXTS}, one AS (SELECT id, 0 AS clause, tf AS n FROM post WHERE term = 'thing'),
+two AS (SELECT a.id, 1 AS clause, len(list_filter(a.ps, lambda p: list_contains(b.ps, p + 1))) AS n FROM post a JOIN post b ON a.id = b.id AND a.term = 'the' AND b.term = 'of'),
+near AS (SELECT term FROM (SELECT term, count(*) AS df FROM post GROUP BY term) WHERE damerau_levenshtein(term, 'ention') <= 1 ORDER BY damerau_levenshtein(term, 'ention'), df DESC, term LIMIT 50),
+three AS (SELECT id, 2 AS clause, sum(tf) AS n FROM post JOIN near USING (term) GROUP BY id)
+SELECT id, clause, n::BIGINT AS n FROM (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three) WHERE n > 0""")
+def highlight_clauses(spark, d):
+    """Matches of a word, a phrase and a fuzzy word in every text."""
+    marked = _index(spark, d).highlight(_turns(spark, d), "text", 'thing "the of" ention~1')
+    return marked.select("id", F.explode("matches").alias("m")).groupBy("id", F.col("m.clause").alias("clause")).agg(F.count("*").alias("n"))
+
+
+@query(_bm25("TRUE"))
+def bm25_two_indexes(spark, d):
+    """One ranking over two indexes, by their merged statistics."""
+    from ..operators.text import Index, Statistics
+
+    turns, asked = _turns(spark, d), "the thing ention tion"
+    parts = [Index.build(turns.where(F.col("id") % 2 == x), "id", "text") for x in (0, 1)]
+    whole = Statistics.merged([x.statistics(asked) for x in parts])
+    one, two = (x.search(asked, 20, statistics=whole) for x in parts)
+    return _hits(one.unionByName(two).orderBy(F.desc("score"), "id").limit(20))
+
+
 @query("SELECT squeezed, min(id) AS id, count(*) AS merged FROM (SELECT trim(regexp_replace(x, '\\s+', ' ', 'g')) AS squeezed, id FROM (" + _TURNS + ")) GROUP BY squeezed")
 def exact_dedup(spark, d):
     return memory.exact_dedup(_memories(spark, d)).select("squeezed", "id", "merged")

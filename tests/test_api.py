@@ -133,6 +133,11 @@ def test_own_tokenizer(spark):
 
     index = text.Index.build(df, "id", "text", tokenizer=cut)
     assert {x["term"]: x["df"] for x in index.terms().collect()} == {"a": 1, "b": 2, "c": 1}
+    # Queries, checks and later documents go by the same tokenizer.
+    assert [x["id"] for x in index.search([text.Phrase("b|c")], 5).collect()] == [2]
+    assert index.verify(df, "id", "text") == {"missing": 0, "stale": 0}
+    more = index.with_documents(spark.createDataFrame([(2, "d e|f")], "id bigint, text string"), "id", "text")
+    assert {x["term"] for x in more.terms().collect()} == {"a", "b", "d e", "f"}
 
 
 def test_tokens_sets_vectors_and_ranges(spark):

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cellweave.functions import hashing
 from cellweave.functions import sketches as S
-from cellweave.functions.words import auto_edits, damerau, phrase_count, sloppy_frequency, snippet, words
+from cellweave.functions.words import auto_edits, damerau, found_clauses, phrase_count, sloppy_frequency, sloppy_places, snippet, words
 from cellweave.operators import aggregates, graph, select, text, vector, write
 from cellweave.operators.ivf import Ivf
 from cellweave.operators.select import Read
@@ -301,6 +301,70 @@ def test_bm25(spark, corpus):
     assert more.search("unique", 5).first()["id"] == 500
 
 
+def test_parts_rank_as_one_index(spark, corpus):
+    df = spark.createDataFrame(corpus, "id bigint, text string")
+    asked = 'wa wd~1 "wa wd" "wd wz"~4 none'
+    whole = text.Index.build(df, "id", "text")
+    parts = [text.Index.build(df.where(F.col("id") % 3 == x), "id", "text") for x in range(3)]
+    of = text.Statistics.merged([x.statistics(asked) for x in parts])
+    assert of == whole.statistics(asked) and of.terms["none"] == 0 and not of.cut
+    want = {x["id"]: x["score"] for x in whole.search(asked, 999).collect()}
+    got = {x["id"]: x["score"] for p in parts for x in p.search(asked, 999, statistics=of).collect()}
+    assert got.keys() == want.keys() and len(got) > 5
+    assert all(abs(got[i] - s) < 1e-9 for i, s in want.items())
+    with pytest.raises(ValueError):
+        text.Statistics.merged([of, whole.statistics("wa")])
+    with pytest.raises(ValueError):
+        whole.search("wq", 3, statistics=of)
+    with pytest.raises(ValueError):
+        text.Statistics.merged([])
+
+
+def test_merged_expansions_are_cut_again():
+    def part(first):
+        return text.Statistics(9, 9, {}, {"w~1": (1, [(f"w{i:02}", 1, 1 + i % 2) for i in range(first, first + 40)])})
+
+    found = text.Statistics.merged([part(0), part(20)])
+    (edits, near), = found.near.values()
+    assert edits == 1 and len(near) == text.EXPANSIONS and found.cut == {"w~1"} and found.docs == 18
+    assert near[0] == ("w21", 1, 4) and [x[2] for x in near] == sorted((x[2] for x in near), reverse=True)
+
+
+def test_highlights_of_every_clause(spark):
+    said = "Ünder the big  oak, the OAK fell; oaks by the old, old oak."
+    index = text.Index.build(spark.createDataFrame([(1, said), (2, None), (3, "")], "id bigint, text string"), "id", "text")
+    hits = spark.createDataFrame([(1, said), (2, None), (3, "")], "id bigint, text string")
+    rows = {x["id"]: x for x in index.highlight(hits, "text", 'fell "the oak" "old oak"~2 aok~1 "never seen"', 999).collect()}
+    raw = said.encode()
+    seen = [(raw[m["start"] : m["end"]].decode(), m["clause"], m["occurrence"]) for m in rows[1]["matches"]]
+    assert [x for x in seen if x[1] == 0] == [("fell", 0, 0)]
+    assert [x for x in seen if x[1] == 1] == [("the OAK", 1, 0)]
+    assert [x[0] for x in seen if x[1] == 2 and x[2] == 0] == ["old", "oak"]
+    assert [x for x in seen if x[1] == 3] == [("oak", 3, 0), ("OAK", 3, 1), ("oak", 3, 2)]
+    assert not [x for x in seen if x[1] == 4]
+    assert rows[1]["snippet"] == said and rows[2]["matches"] == rows[3]["matches"] == [] and rows[2]["snippet"] == ""
+
+
+@given(st.lists(st.sampled_from("abc"), max_size=12), st.lists(st.sampled_from("abc"), min_size=2, max_size=3), st.integers(0, 4))
+@settings(max_examples=200, deadline=None)
+def test_highlighted_phrases_are_the_scored_ones(own, terms, slop):
+    lists = [[i for i, x in enumerate(own) if x == t] for t in terms]
+    found = found_clauses([(t, i, 2 * i, 2 * i + 1) for i, t in enumerate(own)], [(7, terms, list(range(len(terms))), slop)])
+    if not all(lists):
+        assert not found
+        return
+    offsets = list(range(len(terms)))
+    if slop:
+        places = list(sloppy_places(terms, lists, offsets, slop))
+        assert sum(1 / (w + 1) for w, _ in places) == sloppy_frequency(terms, lists, offsets, slop)
+        for width, at in places:
+            shifts = [p - o for p, o in zip(at, offsets, strict=True)]
+            assert max(shifts) - min(shifts) == width <= slop and len(set(at)) == len(at) and [own[p] for p in at] == terms
+        assert sorted(found) == sorted((2 * p, 2 * p + 1, 7, i) for i, (_, at) in enumerate(places) for p in at)
+    else:
+        assert [x[:2] for x in found] == [(2 * i, 2 * (i + len(terms)) - 1) for i in range(len(own)) if own[i : i + len(terms)] == terms]
+
+
 # writes, tables, feed
 
 
