@@ -16,7 +16,9 @@ documents. Reruns give the same mix: order and choice hang on seed, id and text.
 
 Defined cases: null or empty texts have size 0 and are never taken; a null source
 is the last source; repeated rows are taken each by itself; other columns are
-ignored by ``mix`` and passed through by ``draw``; an empty table gives no rows.
+ignored by ``mix`` and passed through by ``draw``; an empty table gives no rows. A
+text of any length is one row: its blocks are picked like any others, so a part of it
+can be taken, and a shard can be as large as its longest text.
 """
 
 from __future__ import annotations

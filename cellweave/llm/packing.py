@@ -13,7 +13,8 @@ in which case the bins before it stay.
 Memory: a partition holds about ``part_rows`` rows of numbers; texts and ids
 never enter it. Defined cases: null text is empty (one token, the end id);
 repeated ids are packed as separate pieces; an empty table gives no rows; other
-columns are ignored.
+columns are ignored; a text of any length is encoded whole, by one task, and its
+pieces are rows of their own.
 """
 
 from __future__ import annotations

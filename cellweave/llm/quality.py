@@ -14,7 +14,8 @@ no more than another.
 Defined cases: null text has no words and fails the base rules; a null host is a
 host of its own; repeated rows are judged each; null ids are kept as they are;
 other columns are ignored by ``judge`` and passed through by ``keep_good``; an
-empty table gives an empty result.
+empty table gives an empty result. A text of any length is one row, whose words and
+lines one task holds; of its lines hashes alone go on.
 """
 
 from __future__ import annotations

@@ -13,7 +13,9 @@ they differ in two bits at most, and no place has more than 65 visitors.
 Defined cases: null or wordless texts have fingerprint 0 and link like any
 other; fewer words than a shingle make one shingle of all; repeated rows stay
 (``link``) or leave one (``drop_copies``); null ids never name a component that
-has another id; extra columns are ignored, or passed through by ``drop_copies``.
+has another id; extra columns are ignored, or passed through by ``drop_copies``; an
+empty table gives no rows. A text of any length is one row, whose words, and eight
+bytes a shingle, one task holds.
 """
 
 from __future__ import annotations

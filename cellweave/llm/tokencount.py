@@ -6,7 +6,7 @@ merge the rest (see ``encoders.PieceCounter``). One narrow pass, no shuffle.
 
 Defined cases: null text counts as empty (0 bytes, 0 tokens); null ids and
 repeated rows are passed through one row for one; other columns are ignored; an
-empty table gives an empty result.
+empty table gives an empty result. A text of any length is counted whole, by one task.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ documents; where a stage changes a text, ``n_chars`` follows.
 5. packing: every document of the mix, as pieces placed in sequences.
 
 Null texts fail the base rules; tables may be empty; columns beside those of
-documents pass through the first four stages.
+documents pass through the first four stages. Of rows with equal id and text one is
+left after near_dedup; of equal texts with several ids the smallest id stays. A text of
+any length is one row of every stage; the last cuts it into pieces.
 """
 
 from __future__ import annotations

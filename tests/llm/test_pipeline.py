@@ -1,9 +1,11 @@
 """The pipeline: every stage on its own input, and the whole."""
 
+from collections import Counter, defaultdict
+
 import corpus_pipeline as pipeline
 from test_near_dup import brute_classes, brute_fingerprint
 
-from cellweave.llm import mixing, quality
+from cellweave.llm import linededup, mixing, quality
 from cellweave.llm.encoders import ByteBpe
 
 
@@ -37,6 +39,62 @@ def test_stages(spark, sf):
     assert sum(x["length"] for x in packed) == sum(len(bpe.encode([x["text"]])[0]) // 4 + 1 for x in mixed.collect())
 
 
+def brute_lines(rows):
+    """Texts by id after the line stage, in plain Python. ``rows``: id (distinct), text."""
+    held = []
+    for i, text in rows:
+        for at, line in enumerate(text.split("\n")):
+            raw = line.translate(str.maketrans("\t\x0b\f\r", "    ")).strip(" ")
+            if raw:
+                tokens = tuple("<*>" if set(x) & set("0123456789") else x for x in raw.split(" ") if x)
+                held.append((i, text, at, raw, tokens, (len(tokens), tokens[: linededup.LEADING])))
+    by_leaf, by_tokens, support = defaultdict(set), defaultdict(set), Counter()
+    for _, text, _, _, tokens, leaf in held:
+        by_leaf[leaf].add(text)
+        by_tokens[leaf, tokens].add(text)
+    for (leaf, tokens), of in by_tokens.items():
+        for p, x in enumerate(tokens):
+            support[leaf, p, x] += len(of)
+
+    def template(raw, tokens, leaf):
+        often = [support[leaf, p, x] >= linededup.DOCS for p, x in enumerate(tokens)]
+        if sum(o and x != "<*>" for o, x in zip(often, tokens, strict=True)) < linededup.SIMILAR * len(tokens):
+            return leaf, raw
+        return leaf, tuple(x if o else "<*>" for o, x in zip(often, tokens, strict=True))
+
+    shared, places = defaultdict(set), defaultdict(list)
+    for i, text, at, raw, tokens, leaf in held:
+        keys = [("template", template(raw, tokens, leaf))] if len(by_leaf[leaf]) >= linededup.DOCS else []
+        keys += [("passage", " ".join(raw.split()))] if len(tokens) >= linededup.PASSAGE else []
+        for key in keys:
+            shared[key].add(text)
+            places[key].append((i, at))
+    gone = set()
+    for key, of in shared.items():
+        if len(of) >= (linededup.DOCS if key[0] == "template" else 2):
+            first = min(i for i, _ in places[key])
+            gone |= {(i, at) for i, at in places[key] if i != first}
+    worded = defaultdict(set)
+    for i, _, at, *_ in held:
+        worded[i].add(at)
+    return {i: "\n".join(x for at, x in enumerate(text.split("\n")) if (i, at) not in gone) for i, text in rows if not worded[i] or any((i, at) not in gone for at in worded[i])}
+
+
+def test_line_stage_against_plain_python(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = list({x["doc_id"]: (x["doc_id"], x["text"]) for x in docs.collect() if x["doc_id"] is not None and x["text"] is not None}.values())
+    start = max(i for i, _ in rows) + 1
+    passage = " ".join(f"shared{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    planted = [f"{chr(97 + i) * 9} words of its own\n{passage}  \nuser u{i} logged in from host h{i % 7} again\n\tend" for i in range(25)]
+    planted += [passage, "  " + passage.replace(" ", "  "), passage[:-1], "", " \n\n", "user u3 logged in from host h9 again"]
+    rows += [(start + i, x) for i, x in enumerate(planted)]
+    like = spark.createDataFrame([(i, x, "en", "h", len(x)) for i, x in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {x["doc_id"]: x["text"] for x in dict(pipeline.STAGES)["line_dedup"](spark, like, "").collect()}
+    want = brute_lines(rows)
+    assert got == want
+    assert passage in got[start] and got[start + 1] == "bbbbbbbbb words of its own" and start + 25 not in got and start + 27 in got
+
+
 def test_run(spark, sf):
     rows = pipeline.run(spark, sf).collect()
     assert rows and {"doc_id", "piece", "sequence_id", "offset", "length"} <= set(rows[0].asDict())
