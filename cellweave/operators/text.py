@@ -166,10 +166,12 @@ def tokenize(df: DataFrame, id_col: str, text_col: str, stop_words: bool = False
 
 
 class Index:
-    """``docs``: id, len. ``postings``: id, term, tf, positions. Queries are read by the tokenizer and form of the texts."""
+    """``docs``: id, len. ``postings``: id, term, tf, positions. Queries are read by the tokenizer and form of the texts. ``unit``: what a fuzzy word's edits change, characters or (UTF-8) bytes."""
 
-    def __init__(self, docs: DataFrame, postings: DataFrame, stop_words: bool = False, k1: float = K1, b: float = B, form: str | None = "NFC", tokenizer=None):
-        self.docs, self.postings, self.stop_words, self.k1, self.b, self.form, self.tokenizer = docs, postings, stop_words, k1, b, form, tokenizer
+    def __init__(self, docs: DataFrame, postings: DataFrame, stop_words: bool = False, k1: float = K1, b: float = B, form: str | None = "NFC", tokenizer=None, unit: str = "characters"):
+        if unit not in ("characters", "bytes"):
+            raise ValueError("unit is characters or bytes")
+        self.docs, self.postings, self.stop_words, self.k1, self.b, self.form, self.tokenizer, self.unit = docs, postings, stop_words, k1, b, form, tokenizer, unit
         self._size: tuple | None = None
 
     @classmethod
@@ -181,7 +183,7 @@ class Index:
         return cls(docs, postings, stop_words, form=form, tokenizer=tokenizer, **options)
 
     def _like(self, docs: DataFrame, postings: DataFrame) -> Index:
-        return Index(docs, postings, self.stop_words, self.k1, self.b, self.form, self.tokenizer)
+        return Index(docs, postings, self.stop_words, self.k1, self.b, self.form, self.tokenizer, self.unit)
 
     def words(self, text: str) -> list[tuple[str, int, int, int]]:
         return self.tokenizer(text) if self.tokenizer else words(text, self.stop_words, self.form)
@@ -218,13 +220,15 @@ class Index:
     def _near(self, word: str, edits: int) -> list[tuple[str, int, int]]:
         """Dictionary terms within ``edits`` of ``word``, one more than EXPANSIONS at most."""
         # An adjacent swap is one edit here and two to the engine's function, which leaves Python few terms.
-        near = self.terms().where(F.length("term").between(len(word) - edits, len(word) + edits) & (F.levenshtein("term", F.lit(word)) <= 2 * edits))
+        # Of bytes, each stands as the Latin-1 character of its number.
+        own, of = (word, F.col("term")) if self.unit == "characters" else (word.encode().decode("latin-1"), F.decode(F.col("term").cast("binary"), "ISO-8859-1"))
+        near = self.terms().withColumn("own", of).where(F.length("own").between(len(own) - edits, len(own) + edits) & (F.levenshtein("own", F.lit(own)) <= 2 * edits))
 
         @F.pandas_udf("int")
         def far(found: pd.Series) -> pd.Series:
-            return found.map(lambda x: damerau(word, x, edits)).astype("int32")
+            return found.map(lambda x: damerau(own, x, edits)).astype("int32")
 
-        rows = near.withColumn("d", far("term")).where(F.col("d") <= edits).orderBy("d", F.desc("df"), "term").limit(EXPANSIONS + 1).collect()
+        rows = near.withColumn("d", far("own")).where(F.col("d") <= edits).orderBy("d", F.desc("df"), "term").limit(EXPANSIONS + 1).collect()
         return [(x["term"], x["d"], x["df"]) for x in rows]
 
     def expansions(self, fuzzy: Fuzzy) -> list[tuple[str, int, float]]:

@@ -301,6 +301,35 @@ def test_bm25(spark, corpus):
     assert more.search("unique", 5).first()["id"] == 500
 
 
+def test_edits_of_characters_or_bytes(spark):
+    """A letter of two bytes is one edit of characters, and two of bytes (DuckDB's damerau_levenshtein)."""
+    df = spark.createDataFrame([(1, "ention mention éention entioné entino èntion")], "id bigint, text string")
+    own = text.Index.build(df, "id", "text")
+    asked = text.Fuzzy("ention", 1)
+    assert {t for t, _, _ in own.expansions(asked)} == {"ention", "mention", "éention", "entioné", "entino", "èntion"}
+    by_bytes = text.Index.build(df, "id", "text", unit="bytes")
+    assert {t for t, _, _ in by_bytes.expansions(asked)} == {"ention", "mention", "entino"}
+    accents = text.Index.build(spark.createDataFrame([(1, "été éte ètè")], "id bigint, text string"), "id", "text", unit="bytes")
+    assert {t for t, _, _ in accents.expansions(text.Fuzzy("étè", 1))} == {"été", "ètè"}
+    assert {t for t, _, _ in by_bytes.without(spark.createDataFrame([(9,)], "id bigint")).expansions(asked)} == {"ention", "mention", "entino"}
+
+
+def test_highlights_agree_with_sql_on_accents(spark, tmp_path):
+    import duckdb
+
+    from cellweave.plans import registry
+
+    d = str(tmp_path)
+    duckdb.sql("create table t as select * from (values (0::BIGINT, 0::BIGINT, 'user', 'thing éention ention'), (0, 1, 'user', 'of the of entioné mention')) v(conv_id, turn, role, text)", connection=(c := duckdb.connect()))
+    c.sql(f"copy t to '{d}/conversations.parquet'")
+    c.sql("create view conversations as select * from t")
+    for name in ("highlight_clauses", "fuzzy_terms"):
+        found = registry.QUERIES[name](spark, d)
+        want = c.sql(registry.SQL[name])
+        at = [want.columns.index(x) for x in found.columns]
+        assert sorted(map(tuple, found.collect())) == sorted(tuple(x[i] for i in at) for x in want.fetchall()), name
+
+
 def test_parts_rank_as_one_index(spark, corpus):
     df = spark.createDataFrame(corpus, "id bigint, text string")
     asked = 'wa wd~1 "wa wd" "wd wz"~4 none'
