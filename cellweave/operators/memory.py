@@ -32,6 +32,8 @@ CANDIDATES = 50
 CONSOLIDATED = 0.5
 #: Unlike vectors of a bucket in near_duplicates, about, and the chance that it misses a pair.
 BUCKET, MISSED = 256, 0.001
+#: Vectors of a part of a larger bucket: a task compares two parts at most. Vectors compared at once, and what products may be off.
+PART, STEP, CLOSE = 4096, 512, 1e-9
 GRAPH_SEEDS, GRAPH_MOST, GRAPH_HOPS = 10, 20, 4
 HIT_BYTES, SIGNAL_BYTES = 16, 48
 COLUMNS = {
@@ -213,6 +215,40 @@ def lsh_shape(n: int, similarity: float, missed: float = MISSED) -> tuple[int, i
     return bits, 1 if together >= 1 else ceil(log(missed) / log(1 - together))
 
 
+def _summed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of rows, summed component by component, so that a pair has one figure wherever it is met."""
+    out = np.zeros(len(a))
+    for i in range(a.shape[1]):
+        out += a[:, i] * b[:, i]
+    return out
+
+
+def _nearest_older(similarity: float):
+    """Of one bucket's memories: each one's nearest older one at ``similarity`` or more, of equally near ones the oldest."""
+
+    def run(own: pa.Table) -> pa.Table:
+        ns, ids, created = own["ns"][0], own["id"].to_numpy(), own["created"].fill_null(np.iinfo(np.int64).min).to_numpy()
+        order = np.lexsort((ids, created))
+        ids, created = ids[order], own["created"].take(pa.array(order))
+        vec = own["embedding"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1).astype(float)[order]
+        norm = np.sqrt(_summed(vec, vec))
+        found: list[tuple] = []
+        for at in range(0, len(ids), STEP):
+            end = min(at + STEP, len(ids))
+            near = vec[at:end] @ vec[:end].T / (norm[at:end, None] * norm[None, :end])
+            near[np.arange(end)[None, :] >= np.arange(at, end)[:, None]] = -np.inf
+            i, j = np.nonzero(near >= np.maximum(near.max(axis=1), similarity)[:, None] - CLOSE)
+            exact = _summed(vec[at + i], vec[j]) / (norm[at + i] * norm[j])
+            i, j, exact = (x[exact >= similarity] for x in (i, j, exact))
+            best = np.lexsort((j, -exact, i))
+            best = best[np.unique(i[best], return_index=True)[1]]
+            found.append((at + i[best], j[best], exact[best]))
+        i, j, exact = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.table([pa.repeat(ns, len(i)), pa.array(ids[i]), pa.array(ids[j]), created.take(pa.array(j)), pa.array(exact)], ["ns", "id", "of", "of_created", "similarity"])
+
+    return run
+
+
 def near_duplicates(rows: DataFrame, similarity: float = 0.95, bits: int | None = None, tables: int | None = None, seed: int = 7) -> DataFrame:
     """ns, id, of, similarity: each memory's nearest older one at cosine ``similarity`` or more; of equally near ones the oldest.
 
@@ -221,7 +257,9 @@ def near_duplicates(rows: DataFrame, similarity: float = 0.95, bits: int | None
     but the oldest are nearest to that one, and it alone is compared with others.
     Candidates share a bucket of signs of random projections in one of ``tables``
     tables (``lsh_shape`` gives both figures where they are null), so no namespace is
-    paired with itself; pairs are of ids until they are distinct, and exact.
+    paired with itself. Vectors go to their buckets and are compared there, exactly; a
+    bucket hands on each memory's nearest alone, so no pairs are shuffled. Buckets of
+    over ``PART`` vectors are dealt in pairs of parts.
     """
     good = F.col("embedding").isNotNull() & F.exists("embedding", lambda x: x != 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where(good & ~F.coalesce("superseded", F.lit(False)))
@@ -244,16 +282,13 @@ def near_duplicates(rows: DataFrame, similarity: float = 0.95, bits: int | None
 
     copies = marked.join(heads.select("ns", "dim", "same", F.col("id").alias("of")), ["ns", "dim", "same"]).where("id <> of").select("ns", "id", "of", F.lit(1.0).alias("similarity"))
 
-    def norm(c):
-        return F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-
-    own = heads.select("ns", "dim", "id", "created", F.explode(keys("embedding")).alias("key"))
-    other = own.select("ns", "dim", "key", F.col("id").alias("of"), F.col("created").alias("of_created"))
-    older = F.struct("of_created", "of") < F.struct(F.col("created").alias("of_created"), F.col("id").alias("of"))
-    pairs = own.join(other, ["ns", "dim", "key"]).where(older).select("ns", "id", "of", "of_created").distinct()
-    pairs = pairs.join(heads.select("ns", "id", "embedding"), ["ns", "id"]).join(heads.select("ns", F.col("id").alias("of"), F.col("embedding").alias("of_embedding")), ["ns", "of"])
-    dot = F.aggregate(F.zip_with("embedding", "of_embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    pairs = pairs.withColumn("similarity", F.try_divide(dot, norm("embedding") * norm("of_embedding"))).where(F.col("similarity") >= similarity)
+    keyed = heads.select("ns", "dim", "id", F.explode(keys("embedding")).alias("key"))
+    large = cut_lineage(keyed.groupBy("ns", "dim", "key").count().where(F.col("count") > PART).select("ns", "dim", "key", F.ceil(F.col("count") / PART).cast("int").alias("parts")))
+    own = heads.select("ns", "dim", "id", "created", "embedding", F.explode(keys("embedding")).alias("key")).join(F.broadcast(large), ["ns", "dim", "key"], "left")
+    part, one = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), F.array(F.lit(0))
+    dealt = own.withColumn("part", part).withColumn("beside", F.explode(F.when(F.col("parts").isNull(), one).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
+    met = dealt.withColumns({"low": F.least("part", "beside"), "high": F.greatest("part", "beside")}).groupBy("ns", "dim", "key", "low", "high")
+    pairs = met.applyInArrow(_nearest_older(similarity), "ns string, id bigint, of bigint, of_created bigint, similarity double")
     best = pairs.groupBy("ns", "id").agg(F.max_by("of", F.struct("similarity", -F.col("of_created"), -F.col("of"))).alias("of"), F.max("similarity").alias("similarity"))
     return best.unionByName(copies)
 

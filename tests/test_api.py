@@ -200,6 +200,28 @@ def test_recall_of_near_duplicates(spark, similarity):
     assert len(want) > 30 and got <= want and len(got) >= 0.99 * len(want)
 
 
+def test_near_duplicates_in_parts_of_buckets(spark, monkeypatch):
+    """Buckets hand on one row a memory, not pairs, and a large one's parts find the same; multiples are equally near, so the oldest counts."""
+    import numpy as np
+
+    r = np.random.default_rng(8)
+    base = np.repeat(r.normal(size=(6, 8)), 20, axis=0) * r.choice([1.0, 2.0, 4.0], size=(120, 1))
+    vec = (base + np.where(np.arange(120)[:, None] % 2, r.normal(size=base.shape) * 0.02, 0)).astype(np.float32)
+    df = memories(spark, [(i, "x", [float(x) for x in v], 0.1, i) for i, v in enumerate(vec)])
+    whole = sorted(map(tuple, memory.near_duplicates(df, 0.9).collect()))
+    assert len(whole) == 114
+    unit = vec.astype(float) / np.linalg.norm(vec.astype(float), axis=1, keepdims=True)
+    near = np.where(np.tril(np.ones((120, 120)), -1) > 0, unit @ unit.T, -1)
+    assert all(abs(s - near[i].max()) < 1e-9 and near[i, of] > near[i].max() - 1e-9 for _, i, of, s in whole)
+    monkeypatch.setattr(memory, "PART", 7)
+    monkeypatch.setattr(memory, "STEP", 4)
+    found = memory.near_duplicates(df, 0.9)
+    assert sorted(map(tuple, found.collect())) == whole
+    # Vectors are dealt once to each bucket and never joined to pairs.
+    said = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "of_embedding" not in said and "FlatMapGroupsInArrow" in said
+
+
 def brute_groups(rows, similarity, least, most):
     """rows: session, id, created, unit vector. Greedy groups of each session, newest seed first."""
     out = []
