@@ -1,8 +1,9 @@
 """Inverted-file vector index: k-means centroids, lists, and probing search.
 
 Centroids are fitted on a bounded, documented sample (the first SAMPLE vectors by
-id); every vector is then put in its nearest list. Members are written partitioned
-by list, so a search reads only the lists it probes.
+id); every vector is then put in its nearest list. Members are written sorted by
+list, neighbouring lists to a file, so a search reads little beyond those it probes
+and there are no more files than the vectors fill.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.tables import shared_root
-from .vector import _distances, nearest, nearest_many
+from .vector import BLOCK_NUMBERS, _distances, _first, k_best, nearest, nearest_many
 
 #: Vectors that centroids are fitted on, at most: the first by id.
 SAMPLE = 50_000
@@ -26,15 +27,26 @@ MOST_NUMBERS = 1 << 23
 TARGET, NPROBE, ROUNDS = 1000, 24, 10
 #: Of true neighbours that a tuned search finds, and queries that it is tuned on.
 RECALL, TUNED = 0.95, 256
-#: Vectors placed, or queries compared, at once.
-STEP = 1024
+#: Vectors placed, or queries whose lists are found, at once.
+STEP, PROBED = 1024, 256
+#: Neighbouring lists that are dealt to one task, when members are written and when queries meet them.
+LISTS = 64
+
+
+def _closest(vectors: np.ndarray, centroids: np.ndarray, metric: str) -> np.ndarray:
+    """Number of each one's nearest centroid, of equally near ones the first; 0 where none has a distance."""
+    out, step, numbers = np.zeros(len(vectors), int), max(1, min(STEP, BLOCK_NUMBERS // len(centroids))), np.arange(len(centroids))
+    for i in range(0, len(vectors), step):
+        at, own, _ = k_best(vectors[i : i + step], centroids, numbers, 1, metric)
+        out[i + at] = own
+    return out
 
 
 def kmeans(vectors: np.ndarray, k: int, metric: str = "l2", rounds: int = ROUNDS) -> np.ndarray:
     """Lloyd's rounds from evenly spaced seeds; an empty cluster keeps its centroid; unit means under cosine."""
     centroids = vectors[np.arange(k) * len(vectors) // k].astype(float).copy()
     for _ in range(rounds):
-        own = _distances(vectors, centroids, metric).argmin(axis=1)
+        own = _closest(vectors, centroids, metric)
         sums = np.zeros_like(centroids)
         np.add.at(sums, own, vectors)
         n = np.bincount(own, minlength=k)
@@ -47,13 +59,17 @@ def kmeans(vectors: np.ndarray, k: int, metric: str = "l2", rounds: int = ROUNDS
     return centroids
 
 
+def _matrix(vec: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    own = vec.combine_chunks() if isinstance(vec, pa.ChunkedArray) else vec
+    return own.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(own), -1)
+
+
 def _placed(vectors: DataFrame, centroids: np.ndarray, metric: str) -> DataFrame:
     """``vectors`` (id, vec) with the number of the nearest centroid."""
 
     @F.pandas_udf("int")
     def place(vec: pd.Series) -> pd.Series:
-        parts = [_distances(np.stack(vec[i : i + STEP].to_numpy()).astype(float), centroids, metric).argmin(axis=1) for i in range(0, len(vec), STEP)]
-        return pd.Series(np.concatenate(parts) if parts else [], dtype="int32")
+        return pd.Series(_closest(np.stack(vec.to_numpy()).astype(float), centroids, metric) if len(vec) else [], dtype="int32")
 
     return vectors.select("id", "vec", place("vec").alias("list"))
 
@@ -66,7 +82,7 @@ class Ivf:
 
     @classmethod
     def build(cls, vectors: DataFrame, metric: str = "l2", target: int = TARGET, sample: int = SAMPLE, path: str | None = None) -> Ivf:
-        """``vectors``: id, vec. Members are written, partitioned by list, to ``path`` or the shared folder.
+        """``vectors``: id, vec. Members are written, sorted by list, to ``path`` or the shared folder.
 
         There are at most as many lists as sampled vectors, and MOST_NUMBERS numbers in
         all centroids: beyond that lists grow past ``target``.
@@ -78,7 +94,7 @@ class Ivf:
         centroids = kmeans(fitted, k, metric) if rows else fitted
         path = path or f"{shared_root(spark)}/cellweave-ivf-{uuid.uuid4().hex}"
         members = _placed(vectors, centroids, metric)
-        members.repartition("list").write.partitionBy("list").parquet(path)
+        members.repartition(F.floor(F.col("list") / LISTS)).sortWithinPartitions("list").write.parquet(path)
         return cls(centroids, spark.read.schema(members.schema).parquet(path), metric)
 
     def inserted(self, vectors: DataFrame) -> Ivf:
@@ -92,36 +108,55 @@ class Ivf:
     def search_many(self, queries: DataFrame, k: int, nprobe: int = NPROBE) -> DataFrame:
         """``queries``: id, vec. query, id, distance of each query's k nearest in the lists it probes.
 
-        Queries go to the lists they probe and meet their members there, as a matrix
-        product for each list that hands on the k best of each query.
+        A query goes once to each LISTS neighbouring lists of which it probes any, with
+        the numbers of those, and meets their members there, as a matrix product for
+        each list; LISTS lists together hand on the k best of each query.
         """
         centroids, metric = self.centroids, self.metric
         nprobe = min(nprobe, len(centroids))
 
-        @F.pandas_udf("array<int>")
-        def probe(vec: pd.Series) -> pd.Series:
-            if not len(vec):
-                return pd.Series([], dtype="object")
-            d = _distances(np.stack(vec.to_numpy()).astype(float), centroids, metric)
-            return pd.Series(list(np.argsort(d, axis=1, kind="stable")[:, :nprobe].astype(np.int32)))
+        def probe(batches):
+            for batch in batches:
+                step = max(1, min(PROBED, BLOCK_NUMBERS // len(centroids)))
+                for i in range(0, batch.num_rows, step):
+                    part = batch.slice(i, step)
+                    at, lists, _ = k_best(_matrix(part.column(1)), centroids, np.arange(len(centroids)), nprobe, metric)
+                    order = np.lexsort((lists, at))
+                    at, lists = at[order], lists[order].astype(np.int32)
+                    first = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(lists // LISTS, prepend=-1) != 0))
+                    offsets = pa.array(np.append(first, len(at)).astype(np.int32))
+                    own = part.take(pa.array(at[first]))
+                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array(lists[first] // LISTS), pa.ListArray.from_arrays(offsets, pa.array(lists))], ["query", "vec", "bundle", "lists"])
 
         def meet(asked: pa.Table, own: pa.Table) -> pa.Table:
-            found = [[], [], []]
+            best = np.empty(0, int), np.empty(0, np.int64), np.empty(0)
             if asked.num_rows and own.num_rows:
-                ids, vec = own["id"].to_numpy(), np.array(own["vec"].to_pylist(), float)
-                for i in range(0, asked.num_rows, STEP):
-                    part = asked.slice(i, STEP)
-                    d = _distances(np.array(part["vec"].to_pylist(), float), vec, metric)
-                    order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
-                    for x, y in zip(found, (np.repeat(part["query"].to_numpy(), order.shape[1]), ids[order].ravel(), np.take_along_axis(d, order, 1).ravel()), strict=True):
-                        x.append(y)
-            columns = [np.concatenate(x) if x else np.empty(0) for x in found]
-            ok = ~np.isnan(columns[2])
-            return pa.table([pa.array(x[ok], kind) for x, kind in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query", "id", "distance"])
-
-        asked = queries.select(F.col("id").cast("bigint").alias("query"), "vec", F.explode(probe("vec")).alias("list"))
-        own = self.members.select("list", F.col("id").cast("bigint").alias("id"), "vec")
-        met = asked.groupBy("list").cogroup(own.groupBy("list")).applyInArrow(meet, "query bigint, id bigint, distance double")
+                wanted, vec = asked["lists"].combine_chunks(), _matrix(asked["vec"])
+                probed, place = wanted.flatten().to_numpy(), wanted.value_parent_indices().to_numpy()
+                held, ids, members = own["list"].to_numpy(), own["id"].to_numpy(), _matrix(own["vec"])
+                bound, more, n = np.full(len(vec), np.inf), [], 0
+                for x in np.unique(held):
+                    at, here = place[probed == x], held == x
+                    step = max(1, BLOCK_NUMBERS // int(here.sum()))
+                    for i in range(0, len(at), step):
+                        rows = at[i : i + step]
+                        query, near, d = k_best(vec[rows], members[here], ids[here], k, metric, bound[rows])
+                        more.append((rows[query], near, d))
+                        n += len(d)
+                        if n > len(best[0]):
+                            best = _first(*[np.concatenate(y) for y in zip(best, *more, strict=True)], k)
+                            count = np.bincount(best[0], minlength=len(vec))
+                            bound[count >= k] = best[2][np.cumsum(count)[count >= k] - 1]
+                            more, n = [], 0
+                if more:
+                    best = _first(*[np.concatenate(y) for y in zip(best, *more, strict=True)], k)
+            names = asked["query"].to_numpy()
+            return pa.table([pa.array(names[best[0]], pa.int64()), pa.array(best[1], pa.int64()), pa.array(best[2], pa.float64())], ["query", "id", "distance"])
+
+        kind = queries.schema["vec"].dataType.simpleString()
+        asked = queries.select(F.col("id").cast("bigint"), "vec").mapInArrow(probe, f"query bigint, vec {kind}, bundle int, lists array<int>")
+        own = self.members.select(F.floor(F.col("list") / LISTS).cast("int").alias("bundle"), "list", F.col("id").cast("bigint").alias("id"), "vec")
+        met = asked.groupBy("bundle").cogroup(own.groupBy("bundle")).applyInArrow(meet, "query bigint, id bigint, distance double")
         rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))
         return met.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 
@@ -149,7 +184,9 @@ class Ivf:
         """
         most = min(max_probe or len(self.centroids), len(self.centroids))
         while True:
-            own = self.members.where(F.col("list").isin(self.probes(query, min(nprobe, most))))
+            own = self.members
+            if min(nprobe, most) < len(self.centroids):
+                own = own.where(F.col("list").isin(self.probes(query, min(nprobe, most))))
             if keep is not None:
                 own = own.where(keep)
                 if nprobe < most and own.limit(k).count() < k:

@@ -92,7 +92,8 @@ def _nearest_block(vectors: DataFrame, listed: list, k: int, metric: str) -> Dat
     block = np.array([x["vec"] for x in listed], float).reshape(len(listed), -1)
 
     def run(batches):
-        best = None
+        best = np.empty(0, int), np.empty(0, np.int64), np.empty(0)
+        bound = np.full(len(names), np.inf)
         for batch in batches:
             if not batch.num_rows or not names:
                 continue
@@ -100,16 +101,14 @@ def _nearest_block(vectors: DataFrame, listed: list, k: int, metric: str) -> Dat
             vec = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(float)
             step = max(1, min(4096, BLOCK_NUMBERS // len(names)))
             for at in range(0, len(ids), step):
-                d = _distances(block, vec[at : at + step], metric)
-                own = np.broadcast_to(ids[at : at + step], d.shape)
-                if best is not None:
-                    d, own = np.concatenate([best[0], d], axis=1), np.concatenate([best[1], own], axis=1)
-                order = np.lexsort((own, d), axis=1)[:, :k]
-                best = np.take_along_axis(d, order, 1), np.take_along_axis(own, order, 1)
-        if best is not None:
-            n = best[0].shape[1]
-            ok = ~np.isnan(best[0].ravel())
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)[ok], pa.int64()), pa.array(best[1].ravel()[ok], pa.int64()), pa.array(best[0].ravel()[ok])], ["query", "id", "distance"])
+                more = k_best(block, vec[at : at + step], ids[at : at + step], k, metric, bound)
+                if len(more[0]):
+                    best = _first(*[np.concatenate(x) for x in zip(best, more, strict=True)], k)
+                    n = np.bincount(best[0], minlength=len(names))
+                    full = n >= k
+                    bound[full] = best[2][np.cumsum(n)[full] - 1]
+        if len(best[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(names)[best[0]], pa.int64()), pa.array(best[1], pa.int64()), pa.array(best[2])], ["query", "id", "distance"])
 
     return vectors.select(F.col("id").cast("bigint"), "vec").mapInArrow(run, "query bigint, id bigint, distance double")
 
@@ -126,6 +125,47 @@ def _distances(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndar
     return np.concatenate([np.square(queries[i : i + step, None, :] - vectors[None]).sum(axis=2) for i in range(0, len(queries), step)]) if len(queries) else dot
 
 
+def _first(query: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first ``k`` of each query by (distance, id), in that order."""
+    order = np.lexsort((ids, d, query))
+    query, ids, d = query[order], ids[order], d[order]
+    kept = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[kept], ids[kept], d[kept]
+
+
+def k_best(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, metric: str, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place of the query, id, distance of each query's ``k`` nearest by (distance, id), as ``_distances`` has them; NaN left out.
+
+    ``bound``: of each query, a distance beyond which none is wanted. One matrix product
+    tells, within its proven error, which vectors can be among the k; only their
+    distances are taken in full.
+    """
+    if metric == "l2":
+        own, other = np.einsum("ij,ij->i", queries, queries), np.einsum("ij,ij->i", vectors, vectors)
+        with np.errstate(invalid="ignore", over="ignore"):
+            rough = other[None, :] - 2 * (queries @ vectors.T)
+            # Twice the error of a sum of products, on either side.
+            slack = 8 * (queries.shape[1] + 8) * np.finfo(float).eps * (own + np.nanmax(other, initial=0))
+    else:
+        rough, own, slack = _distances(queries, vectors, metric), 0.0, 0.0
+    np.nan_to_num(rough, copy=False, nan=np.inf, posinf=np.inf, neginf=-np.inf)
+    limit = np.full(len(queries), np.inf) if bound is None else bound - own
+    free = np.isinf(limit)
+    if k < len(vectors) and free.any():
+        left = rough if free.all() else rough[free]
+        limit[free] = left.min(axis=1) if k == 1 else np.partition(left, k - 1, axis=1)[:, k - 1]
+    i, j = np.nonzero(rough <= (limit + slack)[:, None])
+    if metric == "l2":
+        step = max(1, BLOCK_NUMBERS // max(1, queries.shape[1]))
+        parts = [np.square(queries[i[x : x + step]] - vectors[j[x : x + step]]).sum(axis=1) for x in range(0, len(i), step)]
+        d = np.concatenate(parts) if parts else np.empty(0)
+    else:
+        d = rough[i, j]
+        d = np.where(np.isinf(d), np.nan, d)
+    ok = ~np.isnan(d)
+    return _first(i[ok], ids[j[ok]], d[ok], k)
+
+
 def to_half(values: np.ndarray) -> np.ndarray:
     """Round to nearest even to 16 bits; values beyond the format are refused."""
     out = np.asarray(values, np.float32).astype(np.float16)

@@ -598,6 +598,34 @@ def test_conflicts_against_all_pairs(spark):
     assert {x["txn"] for x in write.conflicts(log, asked).collect()} == want
 
 
+@given(st.integers(0, 999), st.sampled_from(["l2", "ip", "cosine"]), st.integers(1, 6), st.floats(0, 1e6))
+@settings(max_examples=60, deadline=None)
+def test_k_best_are_the_distances_first(seed, metric, k, offset):
+    """By one product and few exact distances: the same as all distances sorted, with ties, far origins and NaN."""
+    r = np.random.default_rng(seed)
+    vec = r.integers(-2, 3, size=(r.integers(1, 40), 3)).astype(float) + offset
+    asked = vec[r.integers(0, len(vec), 5)] + r.choice([0, 1e-7], size=(5, 1))
+    vec[r.random(len(vec)) < 0.1] = np.nan
+    ids = r.permutation(len(vec))
+    d = vector._distances(asked, vec, metric)
+    want = [(i, int(ids[j]), d[i, j]) for i in range(5) for j in sorted(np.flatnonzero(~np.isnan(d[i])), key=lambda j: (d[i, j], ids[j]))]
+    want = [x for n, x in enumerate(want) if n - next(m for m, y in enumerate(want) if y[0] == x[0]) < k]
+    got = list(zip(*[x.tolist() for x in vector.k_best(asked, vec, ids, k, metric)], strict=True))
+    assert got == want
+    bound = np.array([x[2] for x in want if x[0] == 0][-1:] * 5 or [np.inf] * 5)
+    held = vector.k_best(asked, vec, ids, k, metric, bound)
+    assert [x for x in zip(*[x.tolist() for x in held], strict=True) if x[0] == 0] == [x for x in want if x[0] == 0]
+
+
+def test_ivf_files_do_not_grow_with_lists(spark, tmp_path):
+    import glob
+
+    df = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(300)], "id bigint, vec array<float>")
+    index = Ivf.build(df, target=1, path=str(tmp_path / "ivf"))
+    assert len(index.centroids) == 300 and len(glob.glob(f"{tmp_path}/ivf/**/*.parquet", recursive=True)) < 20
+    assert [x["id"] for x in index.search([7.2, 0.0], 2, nprobe=2).collect()] == [7, 8]
+
+
 def test_ivf_many_and_changes(spark):
     r = np.random.default_rng(8)
     df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(r.normal(size=(400, 8)))], "id bigint, vec array<float>")
