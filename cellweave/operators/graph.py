@@ -1,21 +1,23 @@
 """Breadth-first traversal over an adjacency family.
 
-Edges are (src, dst) rows. Each hop joins the frontier with the edges and drops
-visited destinations with an anti-join; both are keyed joins whose strategy the
-optimizer picks from real sizes. Frontiers are written to the shared checkpoint
+Edges are (src, dst) rows, or a log whose entries are resolved for a hop's frontier
+alone. Each hop joins the frontier with the edges and drops visited destinations with
+an anti-join; both are keyed joins whose strategy the optimizer picks from real sizes. Frontiers are written to the shared checkpoint
 folder, so a lost executor costs one hop at most. Driver traffic is one row of
 counts a hop.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.tables import cut_lineage
-from .select import running
+from ..schema import Family
+from .select import Read, running, select
 
 #: Bytes that a node takes of a budget beside its key; with parents.
 NODE_BYTES, PARENT_BYTES = 16, 4
@@ -37,6 +39,18 @@ def edges_of(selected: DataFrame) -> DataFrame:
     return selected.select(F.col("row").alias("src"), F.col("qualifier").alias("dst")).distinct()
 
 
+def edges_from(cells: DataFrame, families: list[Family], read: Read = Read()) -> Callable[[DataFrame], DataFrame]:
+    """A function from nodes (node) to the edges that start there: the log is joined to them before it is resolved, which needs a row's own entries alone."""
+    if read.limit is not None:
+        raise ValueError("a limit on rows needs all rows")
+
+    def of(nodes: DataFrame) -> DataFrame:
+        own = nodes.select(F.col("node").alias("row")).distinct()
+        return edges_of(select(cells.join(own, "row", "left_semi"), families, read))
+
+    return of
+
+
 def _numbered(nodes: DataFrame, n: int) -> DataFrame:
     """``nodes`` (``n`` of them) with index: the place in key order.
 
@@ -47,8 +61,8 @@ def _numbered(nodes: DataFrame, n: int) -> DataFrame:
     return running(nodes.withColumn("one", F.lit(1)), "node", "one", "index").drop("one")
 
 
-def traverse(edges: DataFrame, seeds: DataFrame, hops: int, per_node_limit: int | None = None, hop_limit: int | None = None, max_nodes: int = MAX_NODES, byte_budget: int | None = None, parents: bool = False) -> Traversal:
-    """``seeds``: node. Every node reached within ``hops``, at the first hop that reaches it.
+def traverse(edges: DataFrame | Callable[[DataFrame], DataFrame], seeds: DataFrame, hops: int, per_node_limit: int | None = None, hop_limit: int | None = None, max_nodes: int = MAX_NODES, byte_budget: int | None = None, parents: bool = False) -> Traversal:
+    """``edges``: src, dst; or what ``edges_from`` gives. ``seeds``: node. Every node reached within ``hops``, at the first hop that reaches it.
 
     ``per_node_limit``: a node's first edges by destination, visited ones included.
     ``hop_limit``: of a hop's new nodes, the first by (source's index, node).
@@ -56,9 +70,14 @@ def traverse(edges: DataFrame, seeds: DataFrame, hops: int, per_node_limit: int
     """
     if not 1 <= hops <= MOST_HOPS:
         raise ValueError("hops must be 1 to 64")
-    if per_node_limit is not None:
-        order = Window.partitionBy("src").orderBy("dst")
-        edges = edges.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_node_limit).drop("n")
+
+    def leaving(nodes: DataFrame) -> DataFrame:
+        own = edges(nodes) if callable(edges) else edges
+        if per_node_limit is not None:
+            order = Window.partitionBy("src").orderBy("dst")
+            own = own.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_node_limit).drop("n")
+        return own
+
     first = cut_lineage(seeds.select("node").distinct())
     total = first.count()
     frontier = cut_lineage(_numbered(first, total))
@@ -69,7 +88,7 @@ def traverse(edges: DataFrame, seeds: DataFrame, hops: int, per_node_limit: int
         each = NODE_BYTES + (PARENT_BYTES if parents else 0)
         spent = frontier.agg(F.sum(F.length("node") + each)).first()[0] or 0
     for hop in range(1, hops + 1):
-        read = cut_lineage(frontier.join(edges, F.col("node") == F.col("src")).select("index", "src", "dst"))
+        read = cut_lineage(frontier.join(leaving(frontier), F.col("node") == F.col("src")).select("index", "src", "dst"))
         seen = read.agg(F.countDistinct("src"), F.count("*")).first()
         stats["rows"] += seen[0]
         stats["edges"] += seen[1]

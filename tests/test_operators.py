@@ -159,6 +159,25 @@ def test_traverse(spark, options, few, monkeypatch):
     assert rows == brute_walk(edges, seeds, 3, **options)
 
 
+def test_traverse_resolves_the_frontier_alone(spark):
+    """Edges come from a log, deletes applied; only rows of the frontier reach the windows and shuffles that resolve them."""
+    log = write.WriteBatch({"out": Family("out")})
+    for a, b in ((b"a", b"b"), (b"a", b"c"), (b"b", b"d"), (b"c", b"d"), (b"x", b"y")):
+        log.put(a, "out", b, b"")
+    cells = log.frame(spark, 1, 100).unionByName(write.WriteBatch(log.families).delete_column(b"a", "out", b"c").delete_row(b"x").frame(spark, 2, 200))
+    seeds = spark.createDataFrame([(b"a",), (b"x",)], "node binary")
+    edges = graph.edges_from(cells, list(log.families.values()))
+    for options in ({}, {"per_node_limit": 1}):
+        got = graph.traverse(edges, seeds, 3, parents=True, **options)
+        want = graph.traverse(graph.edges_of(select.select(cells, list(log.families.values()))), seeds, 3, parents=True, **options)
+        assert sorted(map(tuple, got.nodes.collect())) == sorted(map(tuple, want.nodes.collect())) and got.stats == want.stats
+    assert sorted(map(tuple, edges(seeds).collect())) == [(b"a", b"b")]
+    said = edges(seeds)._jdf.queryExecution().optimizedPlan().toString()
+    assert said.rindex("LeftSemi") > said.rindex("Window" if "Window" in said else "Aggregate")
+    with pytest.raises(ValueError):
+        graph.edges_from(cells, list(log.families.values()), select.Read(limit=1))
+
+
 def test_traverse_budget(spark):
     edges = spark.createDataFrame([(b"a", b"n%d" % i) for i in range(9)], "src binary, dst binary")
     got = graph.traverse(edges, spark.createDataFrame([(b"a",)], "node binary"), 3, byte_budget=17 + 4 * 18)
