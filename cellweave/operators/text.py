@@ -26,6 +26,8 @@ from ..plans.tables import cut_lineage
 K1, B = 1.2, 0.75
 MAX_TERM_BYTES, MAX_TERMS = 64, 10_000
 EXPANSIONS = 50
+#: Tokens that a Python worker hands on at once.
+TOKENS = 1 << 14
 
 
 class QueryError(ValueError):
@@ -147,20 +149,28 @@ def tokenize(df: DataFrame, id_col: str, text_col: str, stop_words: bool = False
 
     def run(batches):
         for batch in batches:
-            ids, terms, positions, starts, ends = [], [], [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                distinct = set()
-                for term, p, a, b in own(text or ""):
-                    if len(term.encode()) <= MAX_TERM_BYTES:
-                        distinct.add(term)
-                        ids.append(key)
-                        terms.append(term)
-                        positions.append(p)
-                        starts.append(a)
-                        ends.append(b)
-                if len(distinct) > MAX_TERMS:
-                    raise ValueError(f"a document has {len(distinct)} distinct terms, above max_terms {MAX_TERMS}")
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(terms, pa.string()), *[pa.array(x, pa.int32()) for x in (positions, starts, ends)]], ["id", "term", "position", "start", "end"])
+            field = batch.schema.field(0).type
+
+            def made(at, columns):
+                keys = batch.column(0).take(pa.array(at, pa.int32()))
+                return pa.RecordBatch.from_arrays([keys.cast(field), pa.array(columns[0], pa.string()), *[pa.array(x, pa.int32()) for x in columns[1:]]], ["id", "term", "position", "start", "end"])
+
+            # One text at a time, and rows of about TOKENS handed on: memory doesn't grow with the batch.
+            at, columns = [], ([], [], [], [])
+            for i in range(batch.num_rows):
+                found = [x for x in own(batch.column(1)[i].as_py() or "") if len(x[0]) * 4 <= MAX_TERM_BYTES or len(x[0].encode()) <= MAX_TERM_BYTES]
+                distinct = len({x[0] for x in found}) if len(found) > MAX_TERMS else 0
+                if distinct > MAX_TERMS:
+                    raise ValueError(f"a document has {distinct} distinct terms, above max_terms {MAX_TERMS}")
+                for j in range(0, len(found), TOKENS):
+                    part = found[j : j + TOKENS]
+                    at += [i] * len(part)
+                    for x, y in zip(columns, zip(*part, strict=True), strict=True):
+                        x.extend(y)
+                    if len(at) >= TOKENS:
+                        yield made(at, columns)
+                        at, columns = [], ([], [], [], [])
+            yield made(at, columns)
 
     return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, term string, position int, start int, end int")
 
@@ -306,9 +316,13 @@ class Index:
 
     def verify(self, df: DataFrame, id_col: str, text_col: str) -> dict:
         """Postings that the texts don't have, and those that the index lacks."""
-        own = tokenize(df, id_col, text_col, self.stop_words, self.form, self.tokenizer).groupBy("id", "term").agg(F.count("*").alias("tf"))
         key = ["id", "term", "tf"]
-        return {"missing": own.join(self.postings, key, "left_anti").count(), "stale": self.postings.join(own, key, "left_anti").count()}
+        own = tokenize(df, id_col, text_col, self.stop_words, self.form, self.tokenizer).groupBy("id", "term").agg(F.count("*").alias("tf"))
+        # Texts are read once; a row says how often each side has it.
+        both = own.select(*key, F.lit(1).alias("own"), F.lit(0).alias("held")).unionByName(self.postings.select(*key, F.lit(0).alias("own"), F.lit(1).alias("held")))
+        sides = both.groupBy(*key).agg(F.sum("own").alias("own"), F.sum("held").alias("held"))
+        missing, stale = sides.agg(F.coalesce(F.sum(F.when(F.col("held") == 0, F.col("own"))), F.lit(0)), F.coalesce(F.sum(F.when(F.col("own") == 0, F.col("held"))), F.lit(0))).first()
+        return {"missing": missing, "stale": stale}
 
     def without(self, ids: DataFrame) -> Index:
         """The index after the documents in ``ids`` (id) are deleted."""

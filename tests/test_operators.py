@@ -246,6 +246,47 @@ def test_words():
     assert words("é")[0][0] == "é"
 
 
+@given(st.text(st.sampled_from("abZ9_ .,':;·-\n\r\t!éΣßİªºǀʰɐ中カא٣😀🇩🇪\u0301\u200d\u00ad\u3000\xa0½"), max_size=16), st.booleans())
+@settings(max_examples=400, deadline=None)
+def test_words_between_blanks_are_those_of_the_whole(said, stop_words):
+    from cellweave.functions.words import STOP_WORDS, _segments
+
+    whole = [(said[a:b].lower(), i, len(said[:a].encode()), len(said[:b].encode())) for i, (a, b) in enumerate(_segments(said))]
+    assert words(said, stop_words, None) == [x for x in whole if not (stop_words and x[0] in STOP_WORDS)]
+
+
+def test_tokens_are_handed_on_in_parts(spark, monkeypatch):
+    """A long text, many short ones and none: no batch that a worker makes grows with them."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(text, "TOKENS", 8, raising=False)
+    seen = {}
+
+    class Held:
+        schema = spark.createDataFrame([], "id bigint, t string").schema
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            seen["run"] = run
+
+    text.tokenize(Held(), "id", "t")
+    texts = ["a b c " * 30, None, "", *["x y"] * 40]
+    made = list(seen["run"]([pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["id", "t"])]))
+    assert max(x.num_rows for x in made) <= 16 and len(made) > 10
+    got = [tuple(y.values()) for x in made for y in x.to_pylist()]
+    assert got == [(i, *x) for i, t in enumerate(texts) for x in words(t or "")]
+
+
+def test_verify_counts_both_sides_and_repeats(spark):
+    df = spark.createDataFrame([(1, "a b b"), (2, "c"), (4, None)], "id bigint, text string")
+    index = text.Index.build(spark.createDataFrame([(1, "a b"), (3, "d e")], "id bigint, text string"), "id", "text")
+    assert index.verify(df, "id", "text") == {"missing": 2, "stale": 3}
+    twice = text.Index(index.docs, index.postings.unionByName(index.postings))
+    assert twice.verify(df, "id", "text") == {"missing": 2, "stale": 6}
+
+
 def osa(a, b):
     d = [[i + j if i * j == 0 else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
     for i, j in product(range(1, len(a) + 1), range(1, len(b) + 1)):
